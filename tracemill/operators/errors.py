@@ -69,7 +69,7 @@ def incident_notes(notes: DataFrame) -> DataFrame:
     """One failure per incident note: its first telling heading, else the file name without its date."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
     heads = F.regexp_extract_all("body", F.lit(r"(?md)^# (.*)$"), 1)
-    telling = F.filter(F.transform(heads, T.strip), lambda h: ~F.lower(h).isin(*V.GENERIC_HEADINGS))
+    telling = F.filter(F.transform(heads, lambda h: T.strip(h)), lambda h: ~F.lower(h).isin(*V.GENERIC_HEADINGS))
     stem = F.regexp_replace(F.regexp_replace(name, r"\.md$", ""), r"^\d{4}-\d{2}-\d{2}-?", "")
     title = F.coalesce(F.get(telling, F.lit(0)), stem)
     return (

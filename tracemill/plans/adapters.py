@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SHAPES = {
@@ -20,16 +22,32 @@ SHAPES = {
                count(*) AS message_count, conv_id % 5 AS tool_call_count,
                TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL '1' HOUR AS started_at
         FROM {conversations} GROUP BY conv_id""",
-    # line items as skill loads, parts as the skill catalog (small parts count as not installed)
+    # line items as skill loads: the first four lines load a known skill, the others one that is gone
     "loads": """
-        SELECT l_partkey % 8 AS tenant_id, l_orderkey % 50 AS session_id, l_partkey AS skill_id, l_linenumber, l_suppkey,
-               l_shipdate AS ts, l_returnflag = 'R' AS failed
+        SELECT l_suppkey * 3 % 4 AS tenant_id, l_orderkey % 50 AS session_id,
+               CASE WHEN l_linenumber <= 4 THEN concat('skill-', CAST(l_suppkey * 3 AS VARCHAR(20)))
+                    ELSE concat('gone-', CAST(l_suppkey % 7 AS VARCHAR(9))) END AS skill,
+               l_linenumber, l_shipdate AS ts, l_returnflag = 'R' AS failed
         FROM {lineitem}""",
+    # parts as the skill catalog; small ones are archived
     "catalog": """
-        SELECT p_partkey % 8 AS tenant_id, p_partkey AS skill_id, p_name AS name, p_size * 5 AS age_days,
-               CAST(round(p_retailprice) AS BIGINT) AS size_bytes, p_size > 5 AS installed,
-               p_brand = 'Brand#1' AS disabled
+        SELECT p_partkey % 4 AS tenant_id, concat('Skill-', CAST(p_partkey AS VARCHAR(20))) AS name, p_size * 5 AS age_days,
+               CAST(round(p_retailprice) AS BIGINT) AS size_bytes, p_size > 5 AS installed, p_size <= 5 AS archived,
+               p_brand = 'Brand#1' AS disabled, CASE WHEN p_brand = 'Brand#2' THEN 1 ELSE 0 END AS vault_mentions_90d,
+               'measured' AS usage_quality
         FROM {part}""",
+    # conversations as agent messages: assistant turns load a skill, user turns stand for tool results
+    "agent_messages": """
+        SELECT conv_id % 8 AS tenant_id, conv_id AS session_id, conv_id * 1000 + turn AS msg_id,
+               CASE role WHEN 'user' THEN 'tool' ELSE role END AS role,
+               CASE WHEN role = 'assistant' THEN concat('[{"id":"c', CAST(conv_id * 1000 + turn AS VARCHAR(20)),
+                   '","function":{"name":"skill_view","arguments":"{\\"name\\":\\"plug:demo', CAST(turn % 4 AS VARCHAR(9)),
+                   '\\"}"}},{"call_id":"x","function":{"name":"skill_manage","arguments":"{\\"operations\\":[{\\"name\\":\\"demo',
+                   CAST(conv_id % 3 AS VARCHAR(9)), '\\"}]}"}}]') END AS tool_calls,
+               CASE WHEN role = 'user' AND conv_id % 3 <> 0 THEN concat('c', CAST(conv_id * 1000 + turn - 1 AS VARCHAR(20))) END AS tool_call_id,
+               CASE WHEN role = 'user' AND length(text) % 2 = 0 THEN concat(text, ' {"success": false}') ELSE text END AS content,
+               TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL '1' HOUR + turn * INTERVAL '1' MINUTE AS ts
+        FROM {conversations}""",
     "notes": """
         SELECT doc_id, source AS directory, lang, doc_id % 90 AS day_no,
                DATE '2024-01-01' + CAST(doc_id % 90 AS INTEGER) AS day,
@@ -72,20 +90,31 @@ SHAPES = {
                CASE min(concat(CAST(l_linenumber AS VARCHAR(9)), l_returnflag))
                     WHEN '1R' THEN 'failed' WHEN '1A' THEN 'verified_success' WHEN '2A' THEN 'user_accepted'
                     ELSE 'unknown' END AS outcome
-        FROM {lineitem} WHERE l_quantity > 10 GROUP BY l_orderkey""",
+        FROM {lineitem} GROUP BY l_orderkey""",
 }
 
 
+def _filled(sql: str, **tables: str) -> str:
+    for t, value in tables.items():
+        sql = sql.replace("{" + t + "}", value)
+    return sql
+
+
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = SHAPES[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _tables(sql)}
-    return spark.sql(sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING").replace("VARCHAR(3)", "STRING"), **tables)
+    for t, df in tables.items():
+        df.createOrReplaceTempView(f"given_{t}")
+    body = _filled(sql, **{t: f"given_{t}" for t in tables})
+    for n in ("3", "9", "20"):
+        body = body.replace(f"VARCHAR({n})", "STRING")
+    return spark.sql(body.replace("\\\"", "\\\\\""))
 
 
 def ctes(*names: str) -> str:
     """WITH list of the named shapes for DuckDB."""
-    return "WITH " + ",\n".join(f"{n} AS ({SHAPES[n].format(**{t: t for t in _tables(SHAPES[n])})})" for n in names)
+    return "WITH " + ",\n".join(f"{n} AS ({_filled(SHAPES[n], **{t: t for t in _tables(SHAPES[n])})})" for n in names)
 
 
 def _tables(sql: str) -> set[str]:
-    return {part.split("}")[0] for part in sql.split("{")[1:]}
+    return set(re.findall(r"\{([a-z]+)\}", sql))

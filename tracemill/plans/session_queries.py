@@ -242,12 +242,12 @@ con AS (SELECT session_id, string_agg(substring(text, 1, 260), '¦' ORDER BY msg
 fb AS (SELECT session_id, (SELECT text FROM a x WHERE x.session_id = y.session_id ORDER BY length(text) DESC, msg_id LIMIT 1) AS lo,
    (SELECT text FROM a x WHERE x.session_id = y.session_id ORDER BY msg_id DESC LIMIT 1) AS ta FROM (SELECT DISTINCT session_id FROM a) y),
 e AS (SELECT s.tenant_id, s.session_id, coalesce(nullif(s.title, ''), CAST(s.session_id AS VARCHAR)) AS title, s.message_count AS messages, s.tool_call_count AS tools, s.source,
-   coalesce(u.requests, '') AS requests, coalesce(u.first, '') AS first, coalesce(con.c, CASE WHEN lo = ta THEN substring(lo, 1, 260) ELSE concat(substring(lo, 1, 260), '¦', substring(ta, 1, 260)) END, '') AS conclusions
+   coalesce(u.requests, '') AS requests, coalesce(u.first, '') AS first, coalesce(con.c, CASE WHEN lo IS NULL THEN '' WHEN lo = ta THEN substring(lo, 1, 260) ELSE concat(substring(lo, 1, 260), '¦', substring(ta, 1, 260)) END, '') AS conclusions
    FROM sessions s LEFT JOIN u USING (session_id) LEFT JOIN con USING (session_id) LEFT JOIN fb USING (session_id)),
-ev AS (SELECT *, lower(concat(title, ' ', first)) AS both FROM e),
+ev AS (SELECT *, lower(concat(title, ' ', first)) AS bt FROM e),
 cl AS (SELECT *, CASE WHEN source = 'cron' THEN 'cron' WHEN source = 'tool' THEN 'drop'
-   WHEN (tools = 0 AND messages <= 3) OR contains(both, 'quere') OR (regexp_matches(both, 'nav|the') AND (regexp_matches(first, {_MAIL}) OR regexp_matches(title, {_MAIL})))
-     OR contains(first, '[广告/订阅邮件，已降噪]') OR contains(both, 'schund') THEN 'drop' ELSE 'real' END AS class FROM ev)
+   WHEN (tools = 0 AND messages <= 3) OR contains(bt, 'quere') OR (regexp_matches(bt, 'nav|the') AND (regexp_matches(first, {_MAIL}) OR regexp_matches(title, {_MAIL})))
+     OR contains(first, '[广告/订阅邮件，已降噪]') OR contains(bt, 'schund') THEN 'drop' ELSE 'real' END AS class FROM ev)
 """
 
 
@@ -275,8 +275,8 @@ def clean_lines(spark, sf_dir):
     return _messages(spark, sf_dir).select("msg_id", F.md5(T.clean_lines("content")).alias("digest"))
 
 
-@query("""SELECT page_id, (contains(both, 'quere') OR (regexp_matches(both, 'nav|the') AND regexp_matches(html, """ + _MAIL + """))) AS ad
-FROM (SELECT page_id, html, lower(concat(url, ' ', html)) AS both FROM pages)""")
+@query("""SELECT page_id, (contains(bt, 'quere') OR (regexp_matches(bt, 'nav|the') AND regexp_matches(html, """ + _MAIL + """))) AS ad
+FROM (SELECT page_id, html, lower(concat(url, ' ', html)) AS bt FROM pages)""")
 def mail_ads(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return p.select("page_id", T.is_ad("url", "html", WORDS).alias("ad"))
