@@ -64,6 +64,15 @@ SHAPES = {
                concat('t', CAST(user_id % 7 AS VARCHAR(9))) AS tool,
                concat('t', CAST(user_id % 7 AS VARCHAR(9)), ': code ', CAST(user_id AS VARCHAR(20))) AS message
         FROM {events} WHERE event_type = 'error'""",
+    # documents as session summaries; lists are built from the text parts
+    "summaries": """
+        SELECT doc_id % 4 AS tenant_id, doc_id AS session_id, DATE '2024-01-01' + CAST(doc_id % 90 AS INTEGER) AS date,
+               TIMESTAMP '2024-01-01 00:00:00' + doc_id % 90 * INTERVAL '1' DAY AS updated, source AS project,
+               CASE doc_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'blocked' ELSE 'in_progress' END AS status,
+               substring(text, 1, 60) AS title, substring(text, 61, 100) AS goal_text, text AS claim_text,
+               substring(text, 161, 100) AS verified_text, substring(text, 261, 100) AS open_text,
+               substring(text, 361, 100) AS decision_text, substring(text, 461, 100) AS correction_text
+        FROM {documents}""",
     "vectors": """
         SELECT vec_id AS unit_id, vec_id % 50 AS source_id, label AS kind, embedding FROM {embeddings}""",
     # every document quotes itself, except those ending in 1, which quote their successor

@@ -191,8 +191,17 @@ def search_terms(spark, sf_dir):
     return d.select("doc_id", F.array_join(F.array_sort(K.terms("text")), " ").alias("terms"))
 
 
-@query("""SELECT doc_id, array_to_string(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[\\w./-]+/[^\\s`<>"''|)\\],;]+\\.(?:py|sh|md|html|txt)'), lambda p: regexp_replace(p, '[.,:;]+$', '')),
- lambda p: length(p) >= 4 AND NOT starts_with(p, 'http')))[1:30], ' ') AS paths FROM documents WHERE false""")
+_PATHS = r"""WITH src AS (SELECT doc_id, concat('see 12:n/Users/', source, '/a.py:', CAST(doc_id AS VARCHAR), ', ./', source, '/run.sh and ./.git/HEAD /tmp/', lang, '/x', CAST(doc_id % 5 AS VARCHAR), '. ', text) AS t FROM documents),
+m AS (SELECT doc_id, unnest(f) AS p, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t,
+  '(?i)(?:(?:/Users|/Volumes|/tmp|/var/folders|~/|\.\.?/)[^\s`<>"''|)\],;]+|(?:[\w./-]+/)(?:[^\s`<>"''|)\],;]+\.(?:py|sh|md|jsonl?|db|png|html|toml|yaml|yml|log|txt)))') AS f FROM src)),
+c AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '[.,:;，。；]+$', ''), ':\d+$', ''), '^\./', ''), '^n/Users/', '/Users/') AS p FROM m),
+k AS (SELECT doc_id, p, min(i) AS i FROM c WHERE length(p) >= 4 AND NOT regexp_matches(p, '[/\\]$|(^|/)\.git(/|$)|^http|[${}]|GATE_|VAULT/|^(a/|b/|tmp/)|…|codex-clipboard') GROUP BY ALL)
+SELECT doc_id, string_agg(p, ' ' ORDER BY i) AS paths FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 30) GROUP BY 1"""
+
+
+@query(_PATHS)
 def document_paths(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", F.array_join(T.artifacts(F.array("text")), " ").alias("paths")).where("paths <> ''")
+    t = F.concat(F.lit("see 12:n/Users/"), "source", F.lit("/a.py:"), F.col("doc_id").cast("string"), F.lit(", ./"), "source", F.lit("/run.sh and ./.git/HEAD /tmp/"),
+                 "lang", F.lit("/x"), (F.col("doc_id") % 5).cast("string"), F.lit(". "), "text")
+    return d.select("doc_id", F.array_join(T.artifacts(F.array(t)), " ").alias("paths")).where("paths <> ''")
