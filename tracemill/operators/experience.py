@@ -12,6 +12,7 @@ from tracemill import vocab as V
 from tracemill.functions import keys as K
 from tracemill.functions import text as T
 from tracemill.operators.grouping import ordered_list, top_rows
+from tracemill.session import materialize
 
 CONTENT = ("task_family", "scope", "conditions", "recommended_action", "avoid")
 _REF = "array<struct<path:string,quote:string>>"
@@ -102,7 +103,7 @@ def remember(versions: DataFrame, batch: DataFrame, documents: DataFrame, as_of:
         .when(wants & (F.col("parent").isNull() | ~F.col("parent.revision").eqNullSafe(F.col("supersedes_revision")) | (F.col("parent.status") == "superseded")), "stale_parent")
         .when(wants & ((F.col("parent.scope") != F.col("scope")) | (F.col("parent.task_family") != F.col("task_family"))), "successor_changes_scope")
     )
-    judged = j.withColumn("reason", reason)
+    judged = materialize(j.withColumn("reason", reason), "judged")
     ok = judged.where("reason IS NULL")
     # two writes of one batch may not close the same parent
     closers = ok.where(wants).groupBy("supersedes").agg(F.min("pos").alias("_closer"))
@@ -142,7 +143,7 @@ def brief(tasks: DataFrame, experiences: DataFrame, *, max_chars: int = 2400, k:
     pairs = overlap.unionByName(by_family).join(asked.select("task_id", "family", "project", F.size("terms").alias("n_terms")), "task_id").join(item.drop("terms"), "memory_id")
     pairs = pairs.where(((F.col("scope") == "global") | (F.col("scope") == F.col("project"))) & ((F.col("family") == "") | (F.col("family") == F.col("task_family"))))
     score = F.col("shared") / F.greatest(F.col("n_terms"), F.lit(1)) + F.when(F.col("scope") == F.col("project"), 0.1).otherwise(0.0)
-    ranked = pairs.select("task_id", F.struct((-score).alias("cost"), "memory_id").alias("rank"), "revision", "size", score.alias("score"))
+    ranked = materialize(pairs.select("task_id", F.struct((-score).alias("cost"), "memory_id").alias("rank"), "revision", "size", score.alias("score")), "ranked")
 
     state = asked.select("task_id", F.lit(None).cast(ranked.schema["rank"].dataType).alias("last"), F.lit(0).alias("used"))
     chosen = None

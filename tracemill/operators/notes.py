@@ -121,8 +121,9 @@ def unique_names(notes: DataFrame, *, chunk: Column) -> DataFrame:
 def skill_mentions(names: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes that mention a skill name of six or more characters as a whole token, counted per name.
 
-    A match starts and ends at token borders, so the longest token of the name is a whole token of the note: the join runs on
-    that token and the full name is tested only on notes that have it. Names without such a token use their first two characters.
+    A match starts and ends at token borders, so the longest token of the name is a whole token of the note and the join runs on
+    it. A name that is one token needs no more; longer names are tested on the notes that have their token. Names without a
+    token use their first two characters.
     """
     low = F.lower("name")
     tokens = F.regexp_extract_all(low, F.lit(_TOKEN), 0)
@@ -130,14 +131,18 @@ def skill_mentions(names: DataFrame, notes: DataFrame) -> DataFrame:
     wanted = names.select(low.alias("name")).where(F.length("name") >= 6).distinct()
     wanted = wanted.withColumn("token", F.when(longest == "", F.concat(F.lit("2:"), F.substring("name", 1, 2))).otherwise(longest))
     body = F.lower("body")
-    others = F.regexp_extract_all(body, F.lit("[^a-z0-9-]{2,}"), 0)
-    pairs = F.flatten(F.transform(others, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.concat(F.lit("2:"), F.substr(r, i, F.lit(2))))))
-    every = F.array_distinct(F.concat(F.regexp_extract_all(body, F.lit(_TOKEN), 0), pairs))
-    lone = wanted.select("token").distinct()
-    at = notes.select("path", F.explode(every).alias("token")).join(lone, "token", "left_semi")
-    hit = at.join(wanted, "token").join(notes.select("path", body.alias("_body")), "path")
+    found = F.regexp_extract_all(body, F.lit(_TOKEN), 0)
+    if wanted.where(F.startswith("token", F.lit("2:"))).head() is not None:
+        others = F.regexp_extract_all(body, F.lit("[^a-z0-9-]{2,}"), 0)
+        found = F.concat(found, F.flatten(F.transform(others, lambda r: F.transform(
+            F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.concat(F.lit("2:"), F.substr(r, i, F.lit(2)))))))
+    at = notes.select("path", F.explode(F.array_distinct(found)).alias("token"))
+    hit = at.join(wanted, "token")
+    single = hit.where("name = token").select("path", "name")
+    longer = hit.where("name <> token").join(notes.select("path", body.alias("_body")), "path")
     whole = F.expr(r"_body rlike concat('(?<![a-z0-9-])\\Q', name, '\\E(?![a-z0-9-])')")
-    return hit.where(F.contains("_body", F.col("name")) & whole).groupBy("name").agg(F.count("*").alias("mentions"))
+    longer = longer.where(F.contains("_body", F.col("name")) & whole).select("path", "name")
+    return single.unionByName(longer).groupBy("name").agg(F.count("*").alias("mentions"))
 
 
 def cluster_solutions(clusters: DataFrame, notes: DataFrame, *, k: int = 3, at_least: int = 2) -> DataFrame:
@@ -151,14 +156,19 @@ def cluster_solutions(clusters: DataFrame, notes: DataFrame, *, k: int = 3, at_l
 
 def keyword_lines(notes: DataFrame, keyword: str, k: int = 5) -> DataFrame:
     """First lines around a keyword, one line of context on each side, groups parted by `--`; notes found ignoring case."""
-    lines = F.split("body", "\n")
+    def numbered(lines: Column, i: Column) -> Column:
+        return F.concat((i + 1).cast("string"), F.lit(":"), F.get(lines, i))
 
-    def hit(i):
-        return F.contains(F.coalesce(F.get(lines, i), F.lit("")), F.lit(keyword))
+    def around(lines: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.contains(F.get(lines, i), F.lit(keyword)))
+        near = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - 1, F.lit(0)), F.least(i + 1, F.size(lines) - 1)))))
+
+        def parted(kept: Column) -> Column:
+            return F.flatten(F.transform(kept, lambda i, n: F.when(
+                (n > 0) & (F.get(kept, n - 1) < i - 1), F.array(F.lit("--"), numbered(lines, i))).otherwise(F.array(numbered(lines, i)))))
+
+        # k lines of output come from the first k kept lines
+        return F.array_join(F.slice(T.let(F.slice(near, 1, k), parted), 1, k), " ")
 
-    kept = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: hit(i - 1) | hit(i) | hit(i + 1))
-    marked = F.flatten(F.transform(kept, lambda i, n: F.when(
-        (n > 0) & (F.get(kept, n - 1) < i - 1), F.array(F.lit("--"), F.concat((i + 1).cast("string"), F.lit(":"), F.get(lines, i)))).otherwise(
-        F.array(F.concat((i + 1).cast("string"), F.lit(":"), F.get(lines, i))))))
     found = notes.where(F.contains(F.lower("body"), F.lit(keyword.lower())))
-    return found.select("path", T.note_title("body").alias("title"), F.array_join(F.slice(marked, 1, k), " ").alias("match"))
+    return found.select("path", T.note_title("body").alias("title"), T.let(F.split("body", "\n"), around).alias("match"))

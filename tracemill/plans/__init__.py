@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("error_queries", "session_queries", "skill_queries", "note_queries", "retrieval_queries", "ledger_queries", "stream_queries")
+FAMILIES = ("error_queries", "session_queries", "skill_queries", "note_queries", "retrieval_queries", "ledger_queries", "stream_queries", "source_queries")
 
 
 def load():

@@ -109,9 +109,20 @@ def _filled(sql: str, **tables: str) -> str:
     return sql
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given table. Text tables that come as fewer splits than there are cores are spread over the cores, because their
+    queries are bound by work per row; a table of many files is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
+
+
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = SHAPES[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _tables(sql)}
+    tables = {t: given(spark, sf_dir, t) for t in _tables(sql)}
     for t, df in tables.items():
         df.createOrReplaceTempView(f"given_{t}")
     body = _filled(sql, **{t: f"given_{t}" for t in tables})

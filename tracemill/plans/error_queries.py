@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import keys as K
 from tracemill.operators import errors as E
-from tracemill.plans.adapters import ctes, shape
+from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 
 DAY = "2024-01-15"
@@ -106,14 +106,14 @@ jobs AS (SELECT concat('job-', CAST(s_suppkey AS VARCHAR)) AS job_id, s_name AS
 
 
 def _executions(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = given(spark, sf_dir, "events")
     runs = ev.select(
         "event_id", (F.col("user_id") % 8).alias("tenant_id"), F.concat(F.lit("job-"), F.col("user_id") % 20).alias("job_id"),
         F.col("ts").cast("timestamp").alias("claimed_at"),
         F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"),
         F.concat(F.lit(" value "), "event_id", F.lit("\n"), "props").alias("error"),
     )
-    jobs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+    jobs = given(spark, sf_dir, "supplier").select(
         F.concat(F.lit("job-"), "s_suppkey").alias("job_id"), F.col("s_name").alias("name"))
     return runs, jobs
 

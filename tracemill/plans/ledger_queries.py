@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import proposals as P
 from tracemill.operators import reviews as V
-from tracemill.plans.adapters import ctes, shape
+from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 
 AS_OF = F.lit("2024-03-15").cast("timestamp")
@@ -19,7 +19,7 @@ _P = f"WITH props AS ({_PROPOSALS})"
 
 
 def _props(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = given(spark, sf_dir, "orders")
     k, pri = F.col("o_orderkey"), F.col("o_orderpriority")
     number = (F.floor(k / 2) % 9000).cast("string")
     stem = F.when(k % 3 == 0, "hermes-agent").when(k % 3 == 1, "zh-copy-preflight").otherwise("skill-")
@@ -52,7 +52,7 @@ _FU = """, fu AS (SELECT o_custkey % 16 AS tenant_id, o_orderkey AS follow_up_id
 
 def _follow_ups(spark, sf_dir):
     p = _props(spark, sf_dir)
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = given(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     stem = F.when(k % 3 == 0, "hermes-agent").when(k % 3 == 1, "zh-copy-preflight").otherwise("skill-")
     t = o.select(k.alias("pos"), F.concat(stem, (F.col("o_custkey") + F.when(k % 5 == 0, 1).otherwise(0)).cast("string")).alias("ft"))
@@ -86,7 +86,7 @@ SELECT tenant_id, pos, verdict FROM ad UNION ALL SELECT b.tenant_id, b.pos, CASE
 WHEN b1.pos = b.pos THEN 'queue_full' ELSE 'repeated_in_batch' END FROM batch b JOIN b1 ON b1.tenant_id = b.tenant_id AND b1.target = b.target AND b1.kind = b.kind WHERE NOT EXISTS (SELECT 1 FROM ad WHERE ad.tenant_id = b.tenant_id AND ad.pos = b.pos)""")
 def admitted_proposals(spark, sf_dir):
     ledger = _props(spark, sf_dir).where("status <> 'pending'")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = given(spark, sf_dir, "orders")
     batch = o.select((F.col("o_custkey") % 16).alias("tenant_id"), F.col("o_orderkey").alias("pos"), F.lit("enhance").alias("kind"),
                      F.concat(F.lit("skill-"), (F.col("o_custkey") * 7 % 900).cast("string")).alias("target"), F.lit("").alias("reason"))
     new, refused = P.admit_proposals(ledger, batch, AS_OF)
@@ -141,13 +141,13 @@ fa AS (SELECT s_suppkey % 16 AS tenant_id, concat('skill-', CAST(s_suppkey AS VA
 
 
 def _clusters(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = given(spark, sf_dir, "events")
     return e.groupBy((F.col("user_id") % 16).alias("tenant_id"), F.concat("event_type", F.lit(" env typo "), (F.col("user_id") % 3).cast("string")).alias("title")).agg(
         F.count("*").alias("cnt")).withColumn("cluster_key", F.lit("key"))
 
 
 def _facts(spark, sf_dir):
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    s = given(spark, sf_dir, "supplier")
     return s.select((F.col("s_suppkey") % 16).alias("tenant_id"), F.concat(F.lit("skill-"), F.col("s_suppkey").cast("string")).alias("name"), (F.col("s_suppkey") % 5).alias("load_sessions"),
                     (F.col("s_suppkey") % 2 == 0).alias("archived"), (F.col("s_suppkey") % 3).alias("recent_self_errors"))
 
@@ -203,7 +203,7 @@ def reconciled_proposals(spark, sf_dir):
 
 @query(_REPAIRED + """SELECT r.tenant_id, CASE WHEN status = 'pending' AND kind = 'retire' AND EXISTS (SELECT 1 FROM customer c WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey % 16 = r.tenant_id AND concat('skill-', CAST(c.c_custkey AS VARCHAR)) = r.target) THEN 'done' ELSE status END AS status, count(*) AS n FROM rep r GROUP BY ALL""")
 def closed_by_cap(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") % 16).alias("tenant_id"), F.concat(F.lit("skill-"), F.col("c_custkey").cast("string")).alias("name"))
+    c = given(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") % 16).alias("tenant_id"), F.concat(F.lit("skill-"), F.col("c_custkey").cast("string")).alias("name"))
     return P.close_capped(_one_per_id(spark, sf_dir), c, AS_OF).groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -217,7 +217,7 @@ pr AS (SELECT tenant_id, concat('UP', lpad(CAST(k AS VARCHAR), 3, '0')) AS id, t
 
 
 def _prefs(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = given(spark, sf_dir, "customer")
     b = c.select((F.col("c_custkey") % 16).alias("tenant_id"), F.col("c_custkey").alias("pos"), F.concat("c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string")).alias("title"),
                  *[F.lit("r").alias(x) for x in ("category", "rule", "evidence", "why")])
     have = b.where("title LIKE 'BUILDING%'").select("tenant_id", "title").distinct()
@@ -250,7 +250,7 @@ _KIND = "CASE doc_id % 4 WHEN 0 THEN 'enhance' WHEN 1 THEN 'repair' WHEN 2 THEN
 @query(f"""SELECT doc_id AS reply_id, CASE b WHEN 1 THEN 0 ELSE 1 END AS block_no, {_KIND} AS kind, concat('skill ', CAST(doc_id AS VARCHAR), '-', CAST(b AS VARCHAR)) AS target,
 substring(trim(regexp_replace(replace(lang || ' ' || source, '*', ''), '\\s+', ' ', 'g')), 1, 180) AS reason FROM documents, (SELECT unnest([1, 2]) AS b) WHERE doc_id % 4 <> 2 AND NOT (b = 2 AND doc_id % 3 = 0)""")
 def reply_proposals(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = given(spark, sf_dir, "documents")
     k = F.col("doc_id")
     kind = F.when(k % 4 == 0, "enhance").when(k % 4 == 1, "repair").when(k % 4 == 2, "unknown_kind").otherwise("new_skill")
 
@@ -263,7 +263,7 @@ def reply_proposals(spark, sf_dir):
 
 @query("""SELECT doc_id AS reply_id, 'quality' AS category, concat('title ', CAST(doc_id AS VARCHAR)) AS title, source AS rule, lang AS evidence, 'because so' AS why FROM documents""")
 def reply_preferences(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = given(spark, sf_dir, "documents")
     text = F.concat(F.lit("## c\n### [U1] quality : title "), F.col("doc_id").cast("string"), F.lit("\n**规则**： "), "source", F.lit("\n**证据**："), "lang", F.lit("\n**为什么**：because  so\n### next\n"), "text")
     return P.reply_preferences(d.select(F.col("doc_id").alias("reply_id"), text.alias("text"))).drop("block_no")
 
@@ -280,9 +280,9 @@ pk AS (SELECT tenant_id, concat('C', CAST(n AS VARCHAR)) AS item_id, cluster_key
 
 def _packet(spark, sf_dir):
     e = shape(spark, sf_dir, "errors").groupBy("tenant_id", F.col("message").alias("cluster_key")).agg(F.count("*").alias("cnt"))
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 8).alias("tenant_id"), F.col("c_custkey").alias("session_id"),
+    c = given(spark, sf_dir, "customer").select((F.col("c_custkey") % 8).alias("tenant_id"), F.col("c_custkey").alias("session_id"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 50).cast("int")).alias("started_at"), F.when(F.col("c_acctbal") > 4000, "high").otherwise("medium").alias("confidence"))
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") % 8).alias("tenant_id"), F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("proposal_id"), F.col("s_name").alias("target"),
+    s = given(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 8).alias("tenant_id"), F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("proposal_id"), F.col("s_name").alias("target"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("s_suppkey") % 30).cast("int")).alias("check_after"), F.lit("cluster:x").alias("metric"), F.lit("inconclusive").alias("result"), F.lit("verified").alias("link_status"), (F.col("s_acctbal") > 5000).alias("recurrence_detected"))
     return V.evidence_packet(e, c, s)
 
@@ -297,7 +297,7 @@ ms AS (SELECT r.reply_id, count(*) FILTER (WHERE required AND (short OR (drop_mo
 SELECT tenant_id, reply_id, missing, CASE WHEN short THEN 'empty_or_invalid_output' WHEN missing > 0 THEN 'missing_coverage' ELSE 'accepted' END AS verdict FROM rp JOIN ms USING (reply_id)""")
 def review_coverage(spark, sf_dir):
     pk = _packet(spark, sf_dir)
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") % 8).cast("long").alias("tenant_id"), F.col("n_nationkey").alias("reply_id"))
+    n = given(spark, sf_dir, "nation").select((F.col("n_nationkey") % 8).cast("long").alias("tenant_id"), F.col("n_nationkey").alias("reply_id"))
     drop = F.col("reply_id") % 3
     keep = ~((drop > 0) & (F.substring("item_id", 2, 9).cast("int") % 4 == drop))
     body = n.join(pk, "tenant_id").groupBy("tenant_id", "reply_id").agg(F.concat_ws(", ", F.collect_list(F.when(keep, F.col("item_id")))).alias("ids"))
@@ -321,7 +321,7 @@ def review_packet(spark, sf_dir):
 @query("""SELECT k AS tenant_id, CASE WHEN k % 5 = 4 THEN 'refused_wrong_packet' WHEN k % 5 = 3 THEN 'refused_coverage' WHEN k % 5 = 2 THEN 'refused_unexplained' WHEN k % 5 = 1 THEN 'reviewed_with_findings' ELSE 'ok' END AS status
 FROM (SELECT DISTINCT c_custkey % 40 AS k FROM customer)""")
 def completed_reviews(spark, sf_dir):
-    packet = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 40).alias("tenant_id"), F.col("c_name").alias("subject"), "c_acctbal")
+    packet = given(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("tenant_id"), F.col("c_name").alias("subject"), "c_acctbal")
     sealed = V.seal_packet(packet)
     again = V.seal_packet(packet.repartition(5, "subject"))
     from tracemill.vocab import REVIEW_CHECKS

@@ -10,7 +10,7 @@ from tracemill.functions import keys as K
 from tracemill.functions import text as T
 from tracemill.operators import errors as E
 from tracemill.operators import notes as N
-from tracemill.plans.adapters import ctes, shape
+from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 from tracemill.vocab import DEFAULT
 
@@ -105,7 +105,7 @@ names AS (SELECT DISTINCT name FROM (SELECT unnest(w) AS name FROM bw UNION ALL
 
 
 def _names(spark, sf_dir):
-    w = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9-]+"), 0).alias("w"))
+    w = given(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9-]+"), 0).alias("w"))
     two = F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))
     three = F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3)))
     return w.select(F.explode("w").alias("name")).unionByName(w.select(two.alias("name"))).unionByName(w.select(three.alias("name"))).distinct()
@@ -122,7 +122,7 @@ t AS (SELECT cluster_key, w, count(*) AS times FROM (SELECT cluster_key, unnest(
 s AS (SELECT cluster_key, path, sum(times) AS score FROM t JOIN notes ON contains(lower(body), w) GROUP BY ALL HAVING sum(times) >= 2)
 SELECT cluster_key, path, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY cluster_key ORDER BY path) AS position FROM s QUALIFY position <= 3""")
 def cluster_solutions(spark, sf_dir):
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    b = given(spark, sf_dir, "benchmark")
     clusters = b.orderBy(F.desc(F.length("text")), "item_id").limit(10).select(F.col("item_id").alias("cluster_key"), F.substring("text", 1, 60).alias("title"))
     return N.cluster_solutions(clusters, shape(spark, sf_dir, "notes"))
 
@@ -144,7 +144,7 @@ def _incoming(spark, sf_dir):
 
 
 def _projects(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(F.substring("text", 1, 9), F.lit("-"), F.col("item_id").cast("string")).alias("project"))
+    return given(spark, sf_dir, "benchmark").select(F.concat(F.substring("text", 1, 9), F.lit("-"), F.col("item_id").cast("string")).alias("project"))
 
 
 @query(_ROUTE)
@@ -187,7 +187,7 @@ def keyword_lines(spark, sf_dir):
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]{2,}'))), ' ') AS terms FROM documents""")
 def search_terms(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = given(spark, sf_dir, "documents")
     return d.select("doc_id", F.array_join(F.array_sort(K.terms("text")), " ").alias("terms"))
 
 
@@ -201,7 +201,7 @@ SELECT doc_id, string_agg(p, ' ' ORDER BY i) AS paths FROM (SELECT * FROM k QUAL
 
 @query(_PATHS)
 def document_paths(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = given(spark, sf_dir, "documents")
     t = F.concat(F.lit("see 12:n/Users/"), "source", F.lit("/a.py:"), F.col("doc_id").cast("string"), F.lit(", ./"), "source", F.lit("/run.sh and ./.git/HEAD /tmp/"),
                  "lang", F.lit("/x"), (F.col("doc_id") % 5).cast("string"), F.lit(". "), "text")
     return d.select("doc_id", F.array_join(T.artifacts(F.array(t)), " ").alias("paths")).where("paths <> ''")

@@ -8,7 +8,7 @@ from tracemill.functions import keys as K
 from tracemill.operators import experience as X
 from tracemill.operators import retrieval as R
 from tracemill.operators import sessions as S
-from tracemill.plans.adapters import ctes, shape
+from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 
 AS_OF = F.lit("2024-03-15").cast("timestamp")
@@ -22,7 +22,7 @@ def _summaries(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    b = given(spark, sf_dir, "benchmark")
     return b.select((F.col("item_id") % 4).alias("tenant_id"), F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("query"))
 
 
@@ -98,7 +98,7 @@ _FINGERPRINT = K.model_fingerprint(2, "memory-units-v1", "r1")
 
 
 def _text_units(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = given(spark, sf_dir, "documents")
     return d.select("doc_id", "lang", F.lit("claim_unverified").alias("unit_kind"), F.lit("x").alias("evidence_level"), "text", F.lit("").alias("project"), F.lit("").alias("title"))
 
 
@@ -149,7 +149,7 @@ def version_history(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text")
+    return given(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
 
 
 _REFS = ctes("refs") + ", chk AS (SELECT r.memory_id, r.path, coalesce(contains(d.text, r.quote) AND trim(r.quote, E' \\n\\t\\r') <> '', false) AS holds FROM refs r LEFT JOIN documents d ON d.doc_id = r.path)"
@@ -177,7 +177,7 @@ def _ledger(spark, sf_dir):
     r = shape(spark, sf_dir, "receipts")
     ret = shape(spark, sf_dir, "retrievals").join(r, "receipt_id").select("task_id", "memory_id")
     fb = shape(spark, sf_dir, "feedback").join(r, "receipt_id").select("task_id", "outcome", F.col("receipt_id").alias("seq"))
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = given(spark, sf_dir, "lineitem")
     app = line.where("l_returnflag = 'R'").join(r, F.col("receipt_id") == F.col("l_orderkey")).select("task_id", F.col("l_partkey").alias("memory_id"))
     return r, ret, fb, app
 
@@ -218,7 +218,7 @@ count(*) FILTER (WHERE outcome = 'user_accepted') AS user_accepted, count(*) FIL
 @query(_APPLIED)
 def memory_observations(spark, sf_dir):
     r = shape(spark, sf_dir, "receipts")
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").join(r, F.col("receipt_id") == F.col("l_orderkey"))
+    line = given(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(r, F.col("receipt_id") == F.col("l_orderkey"))
     app = line.join(shape(spark, sf_dir, "feedback").select("receipt_id", "outcome"), "receipt_id", "left").select(
         F.col("l_partkey").alias("memory_id"), F.lit(1).alias("revision"), "task_id", F.coalesce("outcome", F.lit("unknown")).alias("outcome"), F.col("l_orderkey").alias("seq"),
         F.array(F.concat(F.lit("fix "), F.col("l_suppkey") % 10)).alias("corrections"))
@@ -239,9 +239,9 @@ SELECT task_id, memory_id, taken AS position FROM g WHERE took"""
 
 @query(_BRIEF)
 def task_briefs(spark, sf_dir):
-    tasks = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+    tasks = given(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("task_id"), F.col("text").alias("query"), F.lit("").alias("family"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("project"))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = given(spark, sf_dir, "documents")
     e = d.select(
         F.col("doc_id").alias("memory_id"), F.lit(1).alias("revision"), F.when(F.col("doc_id") % 3 == 0, "global").otherwise(F.col("source")).alias("scope"), F.lit("").alias("task_family"),
         F.substring("text", 1, 60).alias("conditions"), F.col("text").alias("recommended_action"), F.col("lang").alias("avoid"), F.col("text").alias("chunk"))
@@ -249,7 +249,7 @@ def task_briefs(spark, sf_dir):
 
 
 def _requests(spark, sf_dir, revision):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = given(spark, sf_dir, "documents")
     k = F.col("doc_id")
     level = F.when(k % 4 == 0, "unverified").when(k % 4 == 1, "bad").otherwise("user_explicit")
     quote = F.when(k % 10 == 7, F.lit("no such quote")).otherwise(F.substring("text", 5, 40))
@@ -286,7 +286,7 @@ def remembered_experience(spark, sf_dir):
 @query("""SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 7 = 0 THEN 'unsupported_outcome' WHEN o_orderkey % 5 = 0 THEN 'no_observed_actions' WHEN o_orderkey % 3 = 0 THEN 'no_receipt_for_task'
  WHEN o_orderkey % 2 = 0 THEN 'applied_not_retrieved' ELSE 'accepted' END AS verdict FROM orders""")
 def recorded_feedback(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = given(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     receipts = o.select(
         F.concat(F.lit("t"), "o_custkey").alias("task_id"), F.concat(F.lit("r"), k).alias("receipt_id"), F.array(F.lit("a"), F.lit("b")).alias("retrieved_ids"),

@@ -10,7 +10,7 @@ from tracemill.functions import text as T
 from tracemill.operators import daily as D
 from tracemill.operators import sessions as S
 from tracemill.operators import signals as G
-from tracemill.plans.adapters import ctes, shape
+from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 from tracemill.vocab import DEFAULT
 
@@ -278,13 +278,13 @@ def clean_lines(spark, sf_dir):
 @query("""SELECT page_id, (contains(bt, 'quere') OR (regexp_matches(bt, 'nav|the') AND regexp_matches(html, """ + _MAIL + """))) AS ad
 FROM (SELECT page_id, html, lower(concat(url, ' ', html)) AS bt FROM pages)""")
 def mail_ads(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    p = given(spark, sf_dir, "pages")
     return p.select("page_id", T.is_ad("url", "html", WORDS).alias("ad"))
 
 
 @query(f"SELECT page_id, md5({_DENOISE}) AS digest FROM (SELECT page_id, html AS text FROM pages)")
 def denoised_mail(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    p = given(spark, sf_dir, "pages")
     return p.select("page_id", F.md5(T.denoise("html", WORDS)).alias("digest"))
 
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.plans.adapters import ctes, shape
+from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 from tracemill.streaming import alerts as A
 from tracemill.streaming import flows as W
 from tracemill.streaming import triggers as G
 
 
-@query(ctes("alerts").replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) AS n, epoch_us(ts) / 1e6 AS at FROM alerts),
-s AS (SELECT channel, n, event_id, true AS send, CASE WHEN delivered THEN message END AS d, message AS a, at AS t FROM o WHERE n = 1 UNION ALL
-  SELECT o.channel, o.n, o.event_id, x.send, CASE WHEN x.send AND o.delivered THEN o.message ELSE s.d END, CASE WHEN x.send THEN o.message ELSE s.a END, CASE WHEN x.send THEN o.at ELSE s.t END
-  FROM s JOIN o ON o.channel = s.channel AND o.n = s.n + 1, LATERAL (SELECT NOT (coalesce(o.message = s.d, false) OR (o.message = s.a AND o.at - s.t < 3600)) AS send) x)
+@query(ctes("alerts").replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) AS n, epoch_us(ts) / 1e6 AS sec FROM alerts),
+s AS (SELECT channel, n, event_id, true AS send, CASE WHEN delivered THEN message END AS d, message AS a, sec AS t FROM o WHERE n = 1 UNION ALL
+  SELECT o.channel, o.n, o.event_id, x.send, CASE WHEN x.send AND o.delivered THEN o.message ELSE s.d END, CASE WHEN x.send THEN o.message ELSE s.a END, CASE WHEN x.send THEN o.sec ELSE s.t END
+  FROM s JOIN o ON o.channel = s.channel AND o.n = s.n + 1, LATERAL (SELECT NOT (coalesce(o.message = s.d, false) OR (o.message = s.a AND o.sec - s.t < 3600)) AS send) x)
 SELECT channel, event_id, send FROM s""")
 def suppressed_alerts(spark, sf_dir):
     return A.suppress_alerts_batch(shape(spark, sf_dir, "alerts")).select("channel", "event_id", "send")
@@ -29,7 +29,7 @@ SELECT session_id, event_id, turn, trigger FROM s"""
 
 @query(_TURNS)
 def snapshot_triggers(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("user_id", "session_id")
+    e = given(spark, sf_dir, "events").withColumnRenamed("user_id", "session_id")
     return G.snapshot_triggers_batch(e).select("session_id", "event_id", "turn", "trigger")
 
 
@@ -38,27 +38,27 @@ _USED = "CAST(floor(value * 37) AS BIGINT) % 2400"
 
 @query(f"SELECT event_id, u AS used, CASE WHEN u > 1800 THEN 'urgent' WHEN u > 1500 THEN 'warn' END AS level, u * 100 // 2200 AS percent FROM (SELECT event_id, {_USED} AS u FROM events)")
 def memory_levels(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.floor(F.col("value") * 37) % 2400).alias("used"))
+    e = given(spark, sf_dir, "events").select("event_id", (F.floor(F.col("value") * 37) % 2400).alias("used"))
     return e.select("event_id", "used", G.memory_level("used").alias("level"), G.memory_percent("used").alias("percent"))
 
 
 @query(f"""WITH u AS (SELECT user_id AS session_id, event_id, ts, CASE WHEN x > 1800 THEN 'urgent' WHEN x > 1500 THEN 'warn' ELSE 'normal' END AS level FROM (SELECT *, {_USED} AS x FROM events))
 SELECT session_id, event_id, level FROM (SELECT *, lag(level, 1, 'normal') OVER (PARTITION BY session_id ORDER BY ts, event_id) AS b FROM u) WHERE level <> b""")
 def memory_level_changes(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session_id"), "event_id", "ts", (F.floor(F.col("value") * 37) % 2400).alias("used"))
+    e = given(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", "ts", (F.floor(F.col("value") * 37) % 2400).alias("used"))
     return G.level_changes_batch(e).select("session_id", "event_id", "level")
 
 
 @query("SELECT arg_min(event_id, ts) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type")
 def deduplicated_events(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = given(spark, sf_dir, "events")
     return W.dedupe_events_batch(e, ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
 
 
 @query("""SELECT 'day' AS grain, strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY ALL
 UNION ALL SELECT 'week', strftime(date_trunc('week', ts), '%Y-%m-%d'), event_type, count(*) FROM events GROUP BY ALL""")
 def tumbling_event_counts(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = given(spark, sf_dir, "events")
     e = e.withColumn("ts", F.col("ts").cast("timestamp"))
     parts = [W.tumbling_counts(e, ["event_type"], width=w).select(F.lit(g).alias("grain"), F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n") for g, w in (("day", "1 day"), ("week", "7 days"))]
     return parts[0].unionByName(parts[1])

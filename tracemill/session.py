@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -40,3 +41,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     target = named or tempfile.mkdtemp(prefix="tracemill-checkpoint-")
     sc.setCheckpointDir(target)
     return target
+
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes a table that several later steps read into the shared folder and reads it back.
+
+    Cuts the lineage: a lost executor costs its own tasks only, and no step computes the table again.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

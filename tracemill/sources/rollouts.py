@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import keys as K
 from tracemill.functions import text as T
 from tracemill.operators.grouping import id_chunk, nearest_value, number_rows, top_rows
+from tracemill.session import materialize
 
 KEYS = ("tenant_id", "session_id")
 POSITION = ("root_order", "path", "ordinal")
@@ -86,48 +87,54 @@ def parse_rollouts(lines: DataFrame) -> DataFrame:
     return named.withColumn("session_id", F.coalesce("_current", file_session_id("path"))).drop("_meta_id", "_current")
 
 
-@dataclass(frozen=True)
 class SessionTables:
-    """Deduplicated parts of the session logs. `pos` orders the rows of a session."""
+    """Deduplicated parts of the session logs: messages, tool evidence and lifecycle events. `pos` orders the rows of a session.
 
-    messages: DataFrame
-    evidence: DataFrame
-    events: DataFrame
-    records: DataFrame
-
-
-def session_tables(records: DataFrame) -> SessionTables:
-    """Messages, tool evidence and lifecycle events; of rows with the same id in a session the first one wins."""
-    pos = F.struct(*POSITION)
-    order = [F.col(c) for c in POSITION]
+    Of rows with the same id in a session the first one wins. With `store` the parsed records and every part in use are
+    written to the shared folder, for jobs that read them many times.
+    """
 
-    items = records.where("type = 'response_item'").withColumn(
-        "message_id", F.coalesce(F.nullif("item_id", F.lit("")), F.concat_ws(":", F.col("ordinal").cast("string"), F.coalesce("payload_type", F.lit(""))))
-    )
-    items = top_rows(items, [*KEYS, "message_id"], order, 1).withColumn("raw", T.visible_text("payload"))
-    items = items.where("raw <> ''").withColumn("pos", pos)
-    shown = T.clean_message("raw", F.col("role"))
-    messages = (
-        items.where("payload_type = 'message' AND role IN ('user', 'assistant')").withColumn("clean", shown)
-        .where((F.length("clean") >= 2) & ~T.is_meta("clean"))
-        .select(*KEYS, "pos", "path", "role", T.excerpt("clean").alias("text"), "ts", "turn_id", "message_id")
-    )
-    outputs = (
-        items.where("payload_type IN ('custom_tool_call_output', 'function_call_output')")
-        .select(*KEYS, "pos", "path", T.excerpt("raw").alias("text"), "ts", "turn_id", "message_id", T.is_verified("raw", "payload_type").alias("verified"))
-        .where("text <> ''")
-    )
-    happened = records.where("type = 'event_msg'").withColumn("raw", T.visible_text("payload")).withColumn("pos", pos)
-    kind = F.coalesce("payload_type", F.lit(""))
-    happened = happened.withColumn(
-        "event_key", F.concat_ws(":", kind, "event_turn", F.substring(F.sha1("raw"), 1, 16))
-    )
-    events = top_rows(happened, [*KEYS, "event_key"], order, 1).select(*KEYS, "pos", kind.alias("event_type"), "event_key", "ts")
-    proved = happened.where((F.col("raw") != "") & T.is_verified("raw", kind)).select(
-        *KEYS, "pos", "path", T.excerpt("raw").alias("text"), "ts", F.col("event_turn").alias("turn_id"),
-        F.col("event_key").alias("message_id"), F.lit(True).alias("verified"),
-    )
-    return SessionTables(messages, outputs.unionByName(proved), events, records)
+    def __init__(self, records: DataFrame, *, store: bool = False):
+        self._keep = (lambda df, name: materialize(df, name)) if store else (lambda df, name: df)
+        self.records = self._keep(records, "records")
+
+    @cached_property
+    def _items(self) -> DataFrame:
+        ident = F.coalesce(F.nullif("item_id", F.lit("")), F.concat_ws(":", F.col("ordinal").cast("string"), F.coalesce("payload_type", F.lit(""))))
+        items = self.records.where("type = 'response_item'").select("*", ident.alias("message_id"), F.struct(*POSITION).alias("pos"))
+        once = top_rows(items, [*KEYS, "message_id"], [F.col("pos")], 1)
+        return once.select(*KEYS, "pos", "path", "ts", "turn_id", "message_id", "payload_type", "role", T.visible_text("payload").alias("raw"))
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        said = self._items.where("payload_type = 'message' AND role IN ('user', 'assistant') AND raw <> ''")
+        said = said.select(*KEYS, "pos", "path", "role", "ts", "turn_id", "message_id", T.clean_message("raw", F.col("role")).alias("clean"))
+        said = said.where((F.length("clean") >= 2) & ~T.is_meta("clean"))
+        return self._keep(said.select(*KEYS, "pos", "path", "role", T.excerpt("clean").alias("text"), "ts", "turn_id", "message_id"), "messages")
+
+    @cached_property
+    def _happened(self) -> DataFrame:
+        raw = self.records.where("type = 'event_msg'").select(
+            *KEYS, F.struct(*POSITION).alias("pos"), "path", "ts", "event_turn", F.coalesce("payload_type", F.lit("")).alias("event_type"), T.visible_text("payload").alias("raw"))
+        return raw.withColumn("event_key", F.concat_ws(":", "event_type", "event_turn", F.substring(F.sha1("raw"), 1, 16)))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        once = top_rows(self._happened.drop("raw", "path"), [*KEYS, "event_key"], [F.col("pos")], 1)
+        return self._keep(once.select(*KEYS, "pos", "event_type", "event_key", "ts"), "events")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        columns = [*KEYS, "pos", "path", "text", "ts", "turn_id", "message_id", "verified"]
+        outputs = self._items.where("payload_type IN ('custom_tool_call_output', 'function_call_output') AND raw <> ''")
+        outputs = outputs.withColumn("text", T.excerpt("raw")).withColumn("verified", T.is_verified("raw", "payload_type")).where("text <> ''")
+        proved = self._happened.where(T.is_verified("raw", "event_type")).select(
+            *KEYS, "pos", "path", T.excerpt("raw").alias("text"), "ts", F.col("event_turn").alias("turn_id"), F.col("event_key").alias("message_id"), F.lit(True).alias("verified"))
+        return self._keep(outputs.select(*columns).unionByName(proved), "evidence")
+
+
+def session_tables(records: DataFrame, *, store: bool = False) -> SessionTables:
+    return SessionTables(records, store=store)
 
 
 def parse_titles(lines: DataFrame) -> DataFrame:
