@@ -10,7 +10,11 @@ from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 
 DAY = "2024-01-15"
-AS_OF = F.lit("2024-01-31").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2024-01-31").cast("timestamp")
+
 
 # The placeholder rules again, in RE2 syntax, innermost first.
 _RULES = [
@@ -202,5 +206,5 @@ FROM errors""")
 def error_dates(spark, sf_dir):
     return shape(spark, sf_dir, "errors").select(
         "event_id", K.week_of("ts").cast("string").alias("week"), K.date_in("error_text").cast("string").alias("said"),
-        K.age_days(F.col("ts").cast("timestamp"), AS_OF).cast("long").alias("age"),
+        K.age_days(F.col("ts").cast("timestamp"), as_of()).cast("long").alias("age"),
     )

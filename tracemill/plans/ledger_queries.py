@@ -9,7 +9,10 @@ from tracemill.operators import reviews as V
 from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 
-AS_OF = F.lit("2024-03-15").cast("timestamp")
+
+def as_of():
+    return F.lit("2024-03-15").cast("timestamp")
+
 
 _PROPOSALS = """SELECT o_custkey % 16 AS tenant_id, o_orderkey AS pos, concat('P', lpad(CAST(o_orderkey // 2 % 9000 AS VARCHAR), 3, '0')) AS id, concat('u', CAST(o_orderkey AS VARCHAR)) AS uid,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'retire' WHEN o_orderpriority LIKE '2%' THEN 'fix_reference' ELSE 'enhance' END AS kind,
@@ -89,7 +92,7 @@ def admitted_proposals(spark, sf_dir):
     o = given(spark, sf_dir, "orders")
     batch = o.select((F.col("o_custkey") % 16).alias("tenant_id"), F.col("o_orderkey").alias("pos"), F.lit("enhance").alias("kind"),
                      F.concat(F.lit("skill-"), (F.col("o_custkey") * 7 % 900).cast("string")).alias("target"), F.lit("").alias("reason"))
-    new, refused = P.admit_proposals(ledger, batch, AS_OF)
+    new, refused = P.admit_proposals(ledger, batch, as_of())
     where = batch.select("tenant_id", "pos", "target", "kind").groupBy("tenant_id", "target", "kind").agg(F.min("pos").alias("pos"))
     named = new.join(where, ["tenant_id", "target", "kind"]).select("tenant_id", "pos", F.col("id").alias("verdict"))
     return named.unionByName(refused.select("tenant_id", "pos", F.col("reason").alias("verdict")))
@@ -131,7 +134,7 @@ _APPLIED = _LINES + """, ap AS (SELECT tenant_id, id, CASE WHEN mark = 'x' AND s
 def applied_decisions(spark, sf_dir):
     p = _one_per_id(spark, sf_dir)
     valid, _stale = P.match_decisions(P.decision_lines(_approval_texts(p)), p)
-    after, _done, _refused = P.apply_decisions(p, valid, AS_OF)
+    after, _done, _refused = P.apply_decisions(p, valid, as_of())
     return after.groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -163,7 +166,7 @@ bf AS (SELECT n.*, CASE WHEN starts_with(metric, 'ref_loads') THEN coalesce(f.lo
 def _created(spark, sf_dir):
     done = _one_per_id(spark, sf_dir).where("status = 'done'")
     none = spark.createDataFrame([], "tenant_id long, proposal_id string, proposal_uid string, target string")
-    return P.create_follow_ups(done, none, _facts(spark, sf_dir), _clusters(spark, sf_dir), AS_OF)
+    return P.create_follow_ups(done, none, _facts(spark, sf_dir), _clusters(spark, sf_dir), as_of())
 
 
 @query(_NEWFU + "SELECT tenant_id, proposal_id, metric, baseline FROM bf")
@@ -198,13 +201,13 @@ def follow_up_summary(spark, sf_dir):
 SELECT r.tenant_id, CASE WHEN status IN ('pending', 'approved') AND kind = 'fix_reference' AND (coalesce(archived, false) OR coalesce(errs, 0) = 0) THEN 'superseded' ELSE status END AS status, count(*) AS n
 FROM rep r LEFT JOIN fa f ON f.tenant_id = r.tenant_id AND f.name = lower(r.target) GROUP BY ALL""")
 def reconciled_proposals(spark, sf_dir):
-    return P.reconcile(_one_per_id(spark, sf_dir), _facts(spark, sf_dir), AS_OF).groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
+    return P.reconcile(_one_per_id(spark, sf_dir), _facts(spark, sf_dir), as_of()).groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
 
 
 @query(_REPAIRED + """SELECT r.tenant_id, CASE WHEN status = 'pending' AND kind = 'retire' AND EXISTS (SELECT 1 FROM customer c WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey % 16 = r.tenant_id AND concat('skill-', CAST(c.c_custkey AS VARCHAR)) = r.target) THEN 'done' ELSE status END AS status, count(*) AS n FROM rep r GROUP BY ALL""")
 def closed_by_cap(spark, sf_dir):
     c = given(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") % 16).alias("tenant_id"), F.concat(F.lit("skill-"), F.col("c_custkey").cast("string")).alias("name"))
-    return P.close_capped(_one_per_id(spark, sf_dir), c, AS_OF).groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
+    return P.close_capped(_one_per_id(spark, sf_dir), c, as_of()).groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
 
 
 _PREFS = """, pb AS (SELECT c_custkey % 16 AS tenant_id, c_custkey AS pos, concat(c_mktsegment, ' ', CAST(c_nationkey AS VARCHAR)) AS title FROM customer),
@@ -221,7 +224,7 @@ def _prefs(spark, sf_dir):
     b = c.select((F.col("c_custkey") % 16).alias("tenant_id"), F.col("c_custkey").alias("pos"), F.concat("c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string")).alias("title"),
                  *[F.lit("r").alias(x) for x in ("category", "rule", "evidence", "why")])
     have = b.where("title LIKE 'BUILDING%'").select("tenant_id", "title").distinct()
-    return P.admit_preferences(have, b, AS_OF)
+    return P.admit_preferences(have, b, as_of())
 
 
 @query("WITH z AS (SELECT 1)" + _PREFS + "SELECT * FROM pr")
@@ -235,7 +238,7 @@ def decided_preferences(spark, sf_dir):
     n = F.substring("id", 3, 9).cast("int")
     mark = F.when(n % 3 == 0, "x").when(n % 3 == 1, "-").otherwise(" ")
     text = p.select("tenant_id", n.cast("long").alias("doc_id"), F.concat(F.lit("## prefs\n- ["), mark, F.lit("] "), "id", F.lit(" | t | r")).alias("text"))
-    return P.decide_preferences(p, P.decision_lines(text), AS_OF).select("tenant_id", "id", "status")
+    return P.decide_preferences(p, P.decision_lines(text), as_of()).select("tenant_id", "id", "status")
 
 
 @query(_REPAIRED + _PREFS + """SELECT tenant_id, CASE status WHEN 'pending' THEN 'proposal' ELSE 'to_execute' END AS queue, id, concat(kind, ' | ', target) AS subject FROM rep WHERE status IN ('pending', 'approved')
@@ -315,7 +318,7 @@ def review_packet(spark, sf_dir):
     s = shape(spark, sf_dir, "summaries")
     p = _props(spark, sf_dir).withColumn("tenant_id", F.col("tenant_id") % 4)
     fu = p.select("tenant_id", F.col("id").alias("proposal_id"), F.col("uid").alias("proposal_uid"), "target", F.when(F.col("status") == "approved", "unresolved").otherwise("verified").alias("link_status"))
-    return V.review_packet(s, s.where("status <> 'blocked'"), p, fu, AS_OF)
+    return V.review_packet(s, s.where("status <> 'blocked'"), p, fu, as_of())
 
 
 @query("""SELECT k AS tenant_id, CASE WHEN k % 5 = 4 THEN 'refused_wrong_packet' WHEN k % 5 = 3 THEN 'refused_coverage' WHEN k % 5 = 2 THEN 'refused_unexplained' WHEN k % 5 = 1 THEN 'reviewed_with_findings' ELSE 'ok' END AS status

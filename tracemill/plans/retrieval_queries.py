@@ -11,7 +11,11 @@ from tracemill.operators import sessions as S
 from tracemill.plans.adapters import ctes, given, shape
 from tracemill.plans.registry import query
 
-AS_OF = F.lit("2024-03-15").cast("timestamp")
+
+def as_of():
+    return F.lit("2024-03-15").cast("timestamp")
+
+
 _LISTS = (("goal", "goal_text"), ("claims", "claim_text"), ("verified", "verified_text"), ("open_items", "open_text"), ("decisions", "decision_text"), ("corrections", "correction_text"))
 
 
@@ -40,13 +44,13 @@ SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY score DES
 
 @query(_RECALL)
 def recall_by_words(spark, sf_dir):
-    return R.recall(_summaries(spark, sf_dir), _questions(spark, sf_dir), as_of=AS_OF)
+    return R.recall(_summaries(spark, sf_dir), _questions(spark, sf_dir), as_of=as_of())
 
 
 @query()
 def recall_texts(spark, sf_dir):
     s = _summaries(spark, sf_dir)
-    return R.recall_blocks(R.recall(s, _questions(spark, sf_dir), as_of=AS_OF), s)
+    return R.recall_blocks(R.recall(s, _questions(spark, sf_dir), as_of=as_of()), s)
 
 
 _CLEAN = "trim(regexp_replace(raw, '\\s+', ' ', 'g'), ' -')"
@@ -94,7 +98,8 @@ def vector_search_default_limit(spark, sf_dir):
     return _search(spark, sf_dir, 0.72)
 
 
-_FINGERPRINT = K.model_fingerprint(2, "memory-units-v1", "r1")
+def _fingerprint():
+    return K.model_fingerprint(2, "memory-units-v1", "r1")
 
 
 def _text_units(spark, sf_dir):
@@ -103,24 +108,24 @@ def _text_units(spark, sf_dir):
 
 
 def _cache(spark, sf_dir):
-    docs = R.unit_documents(_text_units(spark, sf_dir), _FINGERPRINT)
+    docs = R.unit_documents(_text_units(spark, sf_dir), _fingerprint())
     good = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: i.cast("float"))
-    return docs.where("lang = 'en'").select("content_hash", F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(float("nan")).cast("float"))).otherwise(good).alias("embedding"), _FINGERPRINT.alias("fingerprint"))
+    return docs.where("lang = 'en'").select("content_hash", F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(float("nan")).cast("float"))).otherwise(good).alias("embedding"), _fingerprint().alias("fingerprint"))
 
 
 @query("""WITH c AS (SELECT text, bool_or(doc_id % 5 <> 0) AS ok FROM documents WHERE lang = 'en' GROUP BY 1)
 SELECT count(*) AS missing, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT DISTINCT text FROM documents) d ANTI JOIN c ON c.text = d.text AND c.ok""")
 def vectors_to_encode(spark, sf_dir):
-    known = R.valid_cache(_cache(spark, sf_dir), _FINGERPRINT)
+    known = R.valid_cache(_cache(spark, sf_dir), _fingerprint())
     skip = len("passage: claim_unverified [x]\n") + len("\nProject: ") + len("\nTask: ")
-    missing = R.missing_documents(R.unit_documents(_text_units(spark, sf_dir), _FINGERPRINT), known)
+    missing = R.missing_documents(R.unit_documents(_text_units(spark, sf_dir), _fingerprint()), known)
     return missing.agg(F.count("*").alias("missing"), F.sum(F.length("document") - skip).alias("chars"))
 
 
 @query("SELECT doc_id, 256 AS dim FROM documents")
 def embedded_units(spark, sf_dir):
     none = _cache(spark, sf_dir).where("false")
-    units, _new = R.embed(_text_units(spark, sf_dir), R.hashing_encoder(256), none, _FINGERPRINT)
+    units, _new = R.embed(_text_units(spark, sf_dir), R.hashing_encoder(256), none, _fingerprint())
     return units.select("doc_id", F.size("embedding").alias("dim"))
 
 
@@ -274,7 +279,7 @@ def remembered_experience(spark, sf_dir):
     versions = spark.createDataFrame([], EXPERIENCE)
     parts = []
     for rev in (1, 2):
-        new, refused = X.remember(versions, _requests(spark, sf_dir, rev), docs, AS_OF)
+        new, refused = X.remember(versions, _requests(spark, sf_dir, rev), docs, as_of())
         parts += [new.select("memory_id", "revision", F.col("status").alias("verdict")), refused.select("memory_id", F.lit(rev).alias("revision"), F.col("reason").alias("verdict"))]
         versions = versions.unionByName(new)
     out = parts[0]
@@ -298,7 +303,7 @@ def recorded_feedback(spark, sf_dir):
         F.array().cast("array<struct<path:string,quote:string>>").alias("evidence_refs"))
     known = spark.createDataFrame([], "feedback_id string")
     docs = spark.createDataFrame([], "path string, text string")
-    new, refused = X.record_feedback(receipts, known, batch, docs, AS_OF)
+    new, refused = X.record_feedback(receipts, known, batch, docs, as_of())
     return new.select("pos", F.lit("accepted").alias("verdict")).unionByName(refused.select("pos", F.col("reason").alias("verdict")))
 
 
@@ -360,4 +365,4 @@ def merged_summaries(spark, sf_dir):
 @query(_MERGE + """SELECT count(*) AS indexed_sessions, count(*) FILTER (WHERE action <> 'missing_source') AS source_sessions, count(*) FILTER (WHERE action = 'missing_source') AS retained_missing_source,
 count(*) FILTER (WHERE action IN ('kept', 'appended')) AS retained_partial_source FROM m WHERE action IS NOT NULL""")
 def index_health(spark, sf_dir):
-    return S.index_health(S.merge_summaries(*_rebuild(spark, sf_dir)), AS_OF).drop("checked_at")
+    return S.index_health(S.merge_summaries(*_rebuild(spark, sf_dir)), as_of()).drop("checked_at")

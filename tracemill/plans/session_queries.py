@@ -15,7 +15,11 @@ from tracemill.plans.registry import query
 from tracemill.vocab import DEFAULT
 
 DAY = "2024-01-03"
-AS_OF = F.lit("2024-02-01").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2024-02-01").cast("timestamp")
+
 
 # Words that occur in the given texts; the defaults are for another language.
 WORDS = replace(
@@ -137,7 +141,7 @@ w AS (SELECT *, sum(length(tx) + length(reply) + length(coalesce(title, '')) + 1
 SELECT tenant_id, msg_id, concat('E', CAST(n AS VARCHAR)) AS pair_id, tx AS text, reply FROM w WHERE used <= 9000""")
 def correction_pairs(spark, sf_dir):
     pairs = G.corrections_with_reply(_spoken(spark, sf_dir), vocab=WORDS)
-    return G.correction_pairs(pairs, AS_OF, days=3650).select("tenant_id", "msg_id", "pair_id", "text", "reply")
+    return G.correction_pairs(pairs, as_of(), days=3650).select("tenant_id", "msg_id", "pair_id", "text", "reply")
 
 
 @query(_PAIRS + """, p AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, msg_id) AS position FROM pairs WHERE CAST(ts AS DATE) = DATE '2024-01-03'),

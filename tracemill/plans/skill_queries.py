@@ -8,7 +8,11 @@ from tracemill.operators import skills as K
 from tracemill.plans.adapters import ctes, shape
 from tracemill.plans.registry import query
 
-AS_OF = F.lit("2001-11-05").cast("timestamp")
+
+def as_of():
+    return F.lit("2001-11-05").cast("timestamp")
+
+
 _AS_OF = "TIMESTAMP '2001-11-05 00:00:00'"
 
 
@@ -17,7 +21,7 @@ def _loads(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    return K.skill_facts(K.skill_metrics(_loads(spark, sf_dir), AS_OF), shape(spark, sf_dir, "catalog"))
+    return K.skill_facts(K.skill_metrics(_loads(spark, sf_dir), as_of()), shape(spark, sf_dir, "catalog"))
 
 
 _METRICS = ctes("loads", "catalog") + f""",
@@ -36,7 +40,7 @@ facts AS (SELECT coalesce(c.tenant_id, m.tenant_id) AS tenant_id, coalesce(c.nam
 
 @query(_METRICS + "SELECT * FROM metrics")
 def skill_metrics(spark, sf_dir):
-    return K.skill_metrics(_loads(spark, sf_dir), AS_OF).drop("skill_key").withColumn("last_used_days", F.col("last_used_days").cast("long"))
+    return K.skill_metrics(_loads(spark, sf_dir), as_of()).drop("skill_key").withColumn("last_used_days", F.col("last_used_days").cast("long"))
 
 
 @query(_METRICS + "SELECT * FROM facts")
@@ -62,7 +66,7 @@ _WEEKLY = ctes("loads") + f""", weekly AS (SELECT tenant_id, CAST(date_trunc('we
 
 @query(_WEEKLY + " SELECT tenant_id, CAST(week AS VARCHAR) AS week, skill, load FROM weekly")
 def weekly_skill_loads(spark, sf_dir):
-    return K.weekly_loads(_loads(spark, sf_dir), AS_OF).withColumn("week", F.col("week").cast("string"))
+    return K.weekly_loads(_loads(spark, sf_dir), as_of()).withColumn("week", F.col("week").cast("string"))
 
 
 _SNAPS = f""", weekly AS (SELECT tenant_id, CAST(date_trunc('week', ts) AS DATE) AS week, skill, count(*) AS load FROM loads
@@ -75,7 +79,7 @@ _HISTORY = ctes("loads") + _SNAPS
 
 
 def _snapshots(spark, sf_dir):
-    weekly = K.weekly_loads(_loads(spark, sf_dir), AS_OF, weeks=40)
+    weekly = K.weekly_loads(_loads(spark, sf_dir), as_of(), weeks=40)
     have = weekly.where("week < DATE '2001-07-02'").select(
         "tenant_id", "week", "skill", (F.col("load") + 1000).cast("int").alias("load"), *[F.lit(0).alias(c) for c in ("self_err", "reload", "edits")],
         F.lit(False).alias("disabled"), F.lit(False).alias("backfilled"))
@@ -91,7 +95,7 @@ def snapshot_backfill(spark, sf_dir):
 SELECT DISTINCT s.tenant_id, s.skill AS skill_key FROM snaps s JOIN r USING (tenant_id, week) WHERE s.load > 0
 AND s.tenant_id IN (SELECT tenant_id FROM r GROUP BY 1 HAVING count(DISTINCT week) >= 3)""")
 def baseline_used_skills(spark, sf_dir):
-    ready, used = K.baseline(_snapshots(spark, sf_dir), AS_OF)
+    ready, used = K.baseline(_snapshots(spark, sf_dir), as_of())
     return used.join(ready, "tenant_id", "left_semi")
 
 
@@ -114,7 +118,7 @@ usedw AS (SELECT DISTINCT s.tenant_id, s.skill FROM snaps s JOIN r USING (tenant
 FROM facts f WHERE installed AND NOT disabled AND load_sessions = 0 AND age_days >= 90 AND vault_mentions_90d = 0 AND NOT regexp_matches(name, '^(user|auto-skill-save)')
 AND tenant_id IN (SELECT tenant_id FROM ready) AND NOT EXISTS (SELECT 1 FROM usedw u WHERE u.tenant_id = f.tenant_id AND u.skill = lower(f.name)) QUALIFY position <= 5""")
 def retire_candidates(spark, sf_dir):
-    ready, used = K.baseline(_snapshots(spark, sf_dir), AS_OF)
+    ready, used = K.baseline(_snapshots(spark, sf_dir), as_of())
     return K.retire_candidates(_facts(spark, sf_dir), ready, used)
 
 

@@ -15,7 +15,9 @@ from tracemill.sources import index as I
 from tracemill.sources import rollouts as L
 from tracemill.sources import tables as B
 
-AS_OF = F.lit("2024-03-15").cast("timestamp")
+
+def as_of():
+    return F.lit("2024-03-15").cast("timestamp")
 
 
 def rollout_lines(spark, sf_dir):
@@ -149,9 +151,9 @@ def skill_files(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     path = F.concat(F.lit("/skills/"), F.when(F.col("p_size") <= 5, ".archive/").otherwise(""), F.lit("d"), k, F.lit("/SKILL.md"))
     body = F.concat(F.lit("---\n"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('name: "skill '), k, F.lit('"\n'))).otherwise(""), F.lit("---\ntext\n"), "p_name")
-    files = p.select((F.col("p_partkey") % 4).alias("tenant_id"), path.alias("path"), body.alias("body"), F.length(body).alias("size_bytes"), AS_OF.alias("modified"))
+    files = p.select((F.col("p_partkey") % 4).alias("tenant_id"), path.alias("path"), body.alias("body"), F.length(body).alias("size_bytes"), as_of().alias("modified"))
     off = p.where("p_brand = 'Brand#1'").select((F.col("p_partkey") % 4).alias("tenant_id"), F.concat(F.lit("skill "), k).alias("name"))
-    return B.parse_skill_files(files, off, AS_OF).select("tenant_id", "name", "archived", "disabled")
+    return B.parse_skill_files(files, off, as_of()).select("tenant_id", "name", "archived", "disabled")
 
 
 @query("SELECT doc_id AS session_id, 'missing_field' AS violation FROM documents WHERE length(text) % 7 = 0 UNION ALL SELECT doc_id, 'duplicate_session' FROM documents WHERE lang = 'en'")
@@ -188,7 +190,7 @@ def _experiences(spark, sf_dir):
     return refs.select(
         F.lit(1).alias("tenant_id"), F.col("memory_id").cast("string").alias("memory_id"), F.lit(1).alias("revision"), F.lit("active").alias("status"), F.lit("fam").alias("task_family"),
         F.when(F.col("memory_id") % 2 == 0, "global").otherwise("/w/p1").alias("scope"), F.lit("when needed").alias("conditions"), F.concat(F.lit("do "), F.col("memory_id").cast("string")).alias("recommended_action"),
-        F.lit("haste").alias("avoid"), F.lit("user_explicit").alias("evidence_level"), F.array(F.struct(F.col("path").cast("string").alias("path"), F.col("quote").alias("quote"))).alias("evidence_refs"), AS_OF.alias("updated_at"))
+        F.lit("haste").alias("avoid"), F.lit("user_explicit").alias("evidence_level"), F.array(F.struct(F.col("path").cast("string").alias("path"), F.col("quote").alias("quote"))).alias("evidence_refs"), as_of().alias("updated_at"))
 
 
 _EXP = ctes("refs") + ", chk AS (SELECT r.memory_id, coalesce(contains(d.text, r.quote) AND trim(r.quote, E' \\n\\t\\r') <> '', false) AS holds FROM refs r LEFT JOIN documents d ON d.doc_id = r.path)"
