@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,22 +33,36 @@ def build_session(app: str = "tracemill", master: str | None = None, shuffle_par
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (local runs)."""
+    """The shared folder the cluster names in `spark.checkpoint.dir`. Only a local master, where driver and executors are one process,
+    may go without: it gets a folder of its own. Raises ValueError on a cluster that names none."""
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_SETTING, None) or sc.getConf().get(CHECKPOINT_SETTING)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not named and not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", sc.master):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
     target = named or tempfile.mkdtemp(prefix="tracemill-checkpoint-")
     sc.setCheckpointDir(target)
     return target
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     """Writes a table that several later steps read into the shared folder and reads it back.
 
-    Cuts the lineage: a lost executor costs its own tasks only, and no step computes the table again.
+    Cuts the lineage: a lost executor costs its own tasks only, and no step computes the table again. `options` go to the Parquet writer.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that `materialize` wrote, when no later step reads it."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    root = checkpoint_dir(spark)
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getParent().getName() == "tables" and folder.toString().split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
