@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, langid, licenses, media, packing, quality, token_counts
+from tracemill.llm import bpe, langid, licenses, media, packing, quality, sketches, token_counts
 from tracemill.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+@_query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"), runs=int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+
+
+ORACLES["op2_fingerprints"] = sketches.oracle()
+
+
 @_query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
