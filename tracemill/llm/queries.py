@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, langid, licenses, media, packing, quality, sketches, token_counts, warc
+from tracemill.llm import bpe, langid, licenses, media, neardup, packing, quality, sketches, token_counts, warc
 from tracemill.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model)
 
 
+@_query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 @_query
 def op10_media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
