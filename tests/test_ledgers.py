@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from tracemill.operators import experience as X
 from tracemill.operators import proposals as P
 from tracemill.operators import reviews as V
+from tracemill.operators import skills as L
 from tracemill.plans.retrieval_queries import EXPERIENCE
+from tracemill.vocab import REPLY_HEADING
 
 
 def as_of():
@@ -96,3 +98,35 @@ def test_review_coverage(spark):
     text = "## 技能提案\n" + "x" * 100 + ", ".join(f" C{i}" for i in range(1, 11))
     replies = spark.createDataFrame([(1, 1, text), (1, 2, text + " F1 W1")], "tenant_id long, reply_id long, text string")
     assert {r.reply_id: r.verdict for r in V.review_coverage(packet, replies).collect()} == {1: "missing_coverage", 2: "accepted"}
+
+
+def test_seal_sees_every_change(spark):
+    schema = "tenant_id int, a string, b string"
+    seals = [V.seal_packet(spark.createDataFrame([(1, *r) for r in rows], schema)).head().packet_id for rows in (
+        [("x", None)], [(None, "x")], [("x", "x")], [("x", None), ("x", None)], [("x", None), (None, "x")], [(None, None)])]
+    assert len(set(seals)) == len(seals)
+    again = V.seal_packet(spark.createDataFrame([(1, None, "x"), (1, "x", None)], schema).repartition(2)).head().packet_id
+    assert again == seals[4]
+
+
+def test_coverage_of_one_tenant_with_most_rows(spark):
+    packet = spark.createDataFrame([(1, f"C{k}", k % 2 == 0) for k in range(40)] + [(2, "F1", False)], "tenant_id int, item_id string, required boolean")
+    text = REPLY_HEADING + "x" * 100
+    replies = spark.createDataFrame([(1, k, text + " ".join(f"C{j}" for j in range(40) if j != k)) for k in range(40)] + [(2, 1, text), (3, 1, text), (1, 99, "C1")], "tenant_id int, reply_id int, text string")
+    got = {(r.tenant_id, r.reply_id): (r.missing, r.verdict) for r in V.review_coverage(packet, replies).collect()}
+    assert all(got[1, k] == ((1, "missing_coverage") if k % 2 == 0 else (0, "accepted")) for k in range(40))
+    assert got[2, 1] == got[3, 1] == (0, "accepted") and got[1, 99] == (20, "empty_or_invalid_output")
+
+
+def test_catalog_entries_of_one_name_are_one_record(spark):
+    catalog = spark.createDataFrame(
+        [(1, "Demo", True, False, False, 10, 5, "measured"), (1, "demo", False, True, True, 20, 90, "measured"), (1, "old", False, True, False, 1, 1, "measured"), (2, "demo", True, False, False, 1, 1, "measured")],
+        "tenant_id int, name string, installed boolean, archived boolean, disabled boolean, size_bytes long, age_days int, usage_quality string")
+    metrics = spark.createDataFrame([(1, "demo", "demo", 3)], "tenant_id int, skill_key string, skill string, load_sessions long")
+    for c in ("load_sessions_30d", "self_errors", "recent_self_errors", "reload_sessions", "last_used_days"):
+        metrics = metrics.withColumn(c, F.lit(1).cast("long"))
+    facts = L.skill_facts(metrics, catalog)
+    got = {(r.tenant_id, r.skill_key): r for r in facts.collect()}
+    assert len(got) == facts.count() == 3 and (got[1, "demo"].name, got[1, "demo"].installed, got[1, "demo"].archived, got[1, "demo"].size_bytes) == ("Demo", True, True, 10)
+    totals = {r.tenant_id: (r.total_installed, r.used, r.dead, r.broken_ref) for r in L.usage_totals(facts).collect()}
+    assert totals == {1: (1, 1, 0, 0), 2: (1, 0, 1, 0)}

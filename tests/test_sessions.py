@@ -66,7 +66,7 @@ def test_line_numbers_over_splits(spark, tmp_path):
 def test_index_versions_and_merge(spark, home, tmp_path):
     base = str(tmp_path / "index")
     first = build(spark, home)
-    I.write_summaries(first, base, 1)
+    assert I.write_summaries(first, base, "b1") and not I.write_summaries(first.limit(0), base, "b1")
     kept = I.read_summaries(spark, base)
     assert sorted(map(str, kept.collect())) == sorted(map(str, first.collect()))
     gone = S.merge_summaries(kept, first.where("false"))
@@ -81,10 +81,10 @@ def test_index_versions_and_merge(spark, home, tmp_path):
 
 def test_damaged_index_is_refused(spark, tmp_path):
     base = tmp_path / "i"
-    (base / "version=1").mkdir(parents=True)
-    (base / "pointer").mkdir()
-    (base / "pointer" / "p.json").write_text('{"version":1}\n')
-    (base / "version=1" / "a.json").write_text("{broken\n")
+    folder = base / "snapshots" / "000000000000-x"
+    folder.mkdir(parents=True)
+    (folder / "_SUCCESS").touch()
+    (folder / "a.json").write_text("{broken\n")
     with pytest.raises(I.DamagedIndex):
         I.read_summaries(spark, str(base))
 

@@ -3,7 +3,9 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracemill.sources import index as I
 from tracemill.streaming import alerts as A
 from tracemill.streaming import flows as W
 from tracemill.streaming import triggers as G
@@ -60,22 +62,85 @@ def test_levels(spark):
     assert rows == [(1500, None), (1501, "warn"), (1801, "urgent")]
 
 
-def test_dedupe_stream(spark, events, tmp_path):
-    got = both(spark, tmp_path, events, lambda s: W.dedupe_events(s, ["channel", "message"], delay="30 days"))
-    assert got.count() == W.dedupe_events_batch(events, ["channel", "message"]).count()
+def test_dedupe_stream_keeps_the_rows_of_the_batch(spark, events, tmp_path):
+    keys = ["channel", "message"]
+    want = {tuple(r) for r in W.dedupe_events_batch(events, keys).select("event_id", *keys).collect()}
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+    for part in range(4):  # in the order of time: the stream keeps what comes first
+        events.orderBy("ts", "event_id").limit(50 * (part + 1)).subtract(events.orderBy("ts", "event_id").limit(50 * part)).coalesce(1).orderBy("ts", "event_id").write.mode("append").parquet(src)
+        drain(spark, lambda s: W.dedupe_events(s, keys, delay="30 days"), src, events.schema, out, check)
+    assert {tuple(r) for r in spark.read.parquet(out).select("event_id", *keys).collect()} == want
+
+
+def test_dedupe_stream_keeps_the_first_to_arrive(spark, events, tmp_path):
+    late = events.where("event_id = 3").withColumn("ts", F.expr("ts - INTERVAL 1 DAY")).withColumn("event_id", F.lit(-1).cast("long"))
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+    for part in (events.where("event_id = 3"), late):
+        part.write.mode("append").parquet(src)
+        drain(spark, lambda s: W.dedupe_events(s, ["channel", "message"], delay="30 days"), src, events.schema, out, check)
+    assert [r.event_id for r in spark.read.parquet(out).collect()] == [3]
+    assert [r.event_id for r in W.dedupe_events_batch(events.where("event_id = 3").union(late), ["channel", "message"]).collect()] == [-1]
+
 
+SUMMARY = dict(tenant_id=1, date=dt.date(2024, 1, 1), title="t", project="p", status="done", evidence_count=1, claims=["a"], verified=[], open_items=[], decisions=[], corrections=[], message_count=2, count_quality="exact")
 
-def test_ingest_is_idempotent(spark, tmp_path):
-    state = {"index": None, "health": []}
-    schema = "tenant_id long, session_id string, updated timestamp, claims array<string>, message_count int, count_quality string"
-    empty = spark.createDataFrame([], schema)
 
-    def keep(df, version):
-        state["index"] = spark.createDataFrame(df.collect(), df.schema)
+def summaries(spark, *ids, **fields):
+    rows = [SUMMARY | {"session_id": i, "updated": T0} | fields for i in ids]
+    return spark.createDataFrame([tuple(r[f.name] if f.name in r else None for f in S.fields) for r in rows], S)
 
-    run = W.ingest_batch(lambda: state["index"] if state["index"] is not None else empty, keep, lambda h: state["health"].append(h.head()), lambda b: b)
-    batch = spark.createDataFrame([(1, "s", T0, ["a"], 2, "exact")], schema)
-    run(batch, 1)
-    once = state["index"].collect()
-    run(batch, 1)
-    assert state["index"].collect() == once and state["health"][-1].indexed_sessions == 1
+
+S = T.StructType.fromDDL(I.SUMMARIES)
+
+
+@pytest.fixture()
+def stored(spark, tmp_path):
+    base, health = str(tmp_path / "index"), []
+    run = lambda stream: W.ingest_batch(lambda: I.read_summaries(spark, base), lambda df, batch: I.write_summaries(df, base, batch), lambda h: health.append(h.head()), lambda b: b, stream)
+    return base, health, run
+
+
+def ids(spark, base):
+    return sorted(r.session_id for r in I.read_summaries(spark, base).collect())
+
+
+def test_replayed_batch_changes_nothing(spark, stored):
+    base, health, run = stored
+    ingest = run("one")
+    ingest(summaries(spark, "a"), 0)
+    ingest(summaries(spark, "b"), 1)
+    once = sorted(map(str, I.read_summaries(spark, base).collect()))
+    ingest(summaries(spark, "b"), 1)
+    ingest(summaries(spark, "a"), 0)
+    assert sorted(map(str, I.read_summaries(spark, base).collect())) == once and ids(spark, base) == ["a", "b"]
+    assert [h.indexed_sessions for h in health] == [1, 2]
+
+
+def test_new_checkpoint_loses_nothing(spark, stored):
+    base, _, run = stored
+    run("one")(summaries(spark, "a"), 0)
+    run("one")(summaries(spark, "b"), 7)
+    run("two")(summaries(spark, "c"), 0)
+    assert ids(spark, base) == ["a", "b", "c"]
+
+
+def test_unfinished_write_is_not_read(spark, stored, tmp_path):
+    base, _, run = stored
+    run("one")(summaries(spark, "a"), 0)
+    broken = tmp_path / "index/snapshots/000000000001-one%3A1"
+    broken.mkdir(parents=True)
+    (broken / "part-0.json").write_text("{")
+    assert ids(spark, base) == ["a"]
+    run("one")(summaries(spark, "b"), 1)
+    assert ids(spark, base) == ["a", "b"]
+
+
+def test_stream_into_the_stored_index(spark, stored, tmp_path):
+    base, _, run = stored
+    src = str(tmp_path / "src")
+    for part in ("a", "b"):
+        summaries(spark, part).write.mode("append").parquet(src)
+        spark.readStream.schema(S).parquet(src).writeStream.foreachBatch(run("s")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert ids(spark, base) == ["a", "b"]
+    spark.readStream.schema(S).parquet(src).writeStream.foreachBatch(run("s2")).option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start().awaitTermination()
+    assert ids(spark, base) == ["a", "b"]

@@ -40,12 +40,14 @@ def evidence_packet(clusters: DataFrame, failed: DataFrame, follow_ups: DataFram
 
 def review_coverage(packet: DataFrame, replies: DataFrame) -> DataFrame:
     """Verdict per reply (`tenant_id, reply_id, text`): accepted, invalid, or the number of required ids it does not mention."""
-    found = replies.select("tenant_id", "reply_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b(C\d+|F\d+|W\d+)\b"), 1))).alias("item_id"))
-    must = packet.where("required").select("tenant_id", "item_id")
-    missing = replies.select("tenant_id", "reply_id").join(must, "tenant_id").join(found, ["tenant_id", "reply_id", "item_id"], "left_anti")
-    lost = missing.groupBy("tenant_id", "reply_id").agg(F.count("*").alias("missing"))
+    ids = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b(C\d+|F\d+|W\d+)\b"), 1))
+    must = packet.where("required").select("tenant_id", "item_id").distinct()
+    needed = must.groupBy("tenant_id").agg(F.count("*").alias("needed"))
+    named = replies.select("tenant_id", "reply_id", F.explode(ids).alias("item_id")).distinct().join(must, ["tenant_id", "item_id"])
+    named = named.groupBy("tenant_id", "reply_id").agg(F.count("*").alias("named"))
     valid = (F.length("text") > 100) & F.contains("text", F.lit(V.REPLY_HEADING))
-    j = replies.join(lost, ["tenant_id", "reply_id"], "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    j = replies.join(named, ["tenant_id", "reply_id"], "left").join(needed, "tenant_id", "left")
+    j = j.withColumn("missing", F.coalesce("needed", F.lit(0)) - F.coalesce("named", F.lit(0)))
     return j.select("tenant_id", "reply_id", "missing", F.when(~valid, "empty_or_invalid_output").when(F.col("missing") > 0, "missing_coverage").otherwise("accepted").alias("verdict"))
 
 
@@ -67,10 +69,12 @@ def review_packet(summaries: DataFrame, cards: DataFrame, proposals: DataFrame,
 
 
 def seal_packet(packet: DataFrame) -> DataFrame:
-    """Content hash per tenant, the same whatever the order of the rows; built from per-row hashes, so it merges like a sum."""
-    row = F.xxhash64(*[F.col(c).cast("string") for c in sorted(packet.columns)])
-    parts = packet.groupBy("tenant_id").agg(F.count("*").alias("n"), F.bit_xor(row).alias("x"), F.sum(F.shiftright(row, 20)).alias("s"))
-    return parts.select("tenant_id", F.sha2(F.concat_ws("|", "n", "x", "s"), 256).alias("packet_id"))
+    """Content hash per tenant, the same whatever the order of the rows. Each row is hashed with its names and nulls; the rows' digests are
+    summed in eight parts, so the seal merges like a sum and a repeated row changes it."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(packet.columns)]), {"ignoreNullFields": "false"}), 256)
+    parts = packet.select("tenant_id", row.alias("r")).groupBy("tenant_id").agg(
+        F.count("*").alias("n"), *[F.sum(F.conv(F.substring("r", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"d{k}") for k in range(8)])
+    return parts.select("tenant_id", F.sha2(F.concat_ws("|", "n", *[F.col(f"d{k}").cast("string") for k in range(8)]), 256).alias("packet_id"))
 
 
 def complete_reviews(sealed: DataFrame, checks: DataFrame) -> DataFrame:

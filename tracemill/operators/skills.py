@@ -63,13 +63,22 @@ def skill_metrics(loads: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def one_entry_per_name(catalog: DataFrame) -> DataFrame:
+    """The catalog with its `skill_key`, one entry per tenant and key; whether any entry is archived stays known."""
+    rest = [c for c in catalog.columns if c != "tenant_id"]
+    first = F.struct((~F.coalesce("installed", F.lit(False))).alias("_away"), *rest)
+    folded = catalog.groupBy("tenant_id", F.lower("name").alias("skill_key")).agg(F.min(first).alias("e"), F.max(F.coalesce("archived", F.lit(False))).alias("_archived"))
+    return folded.select("tenant_id", "skill_key", *[F.col("_archived").alias(c) if c == "archived" else F.col(f"e.{c}").alias(c) for c in rest])
+
+
 def skill_facts(metrics: DataFrame, catalog: DataFrame, edits: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """Catalog and usage side by side; a used name that is not in the catalog is a broken reference.
 
-    Catalog: `tenant_id, name, installed, archived, disabled, size_bytes, age_days, usage_quality`.
+    Catalog: `tenant_id, name, installed, archived, disabled, size_bytes, age_days, usage_quality`. Several entries of a name, in any case,
+    are one record: the installed one counts, before an archived one, then the first name.
     """
     keys = ["tenant_id", "skill_key"]
-    cat = catalog.withColumn("skill_key", F.lower("name"))
+    cat = one_entry_per_name(catalog)
     full = cat.join(metrics, keys, "full")
     for extra, column in ((edits, "edits"), (mentions, "vault_mentions_90d")):
         if extra is None:

@@ -27,9 +27,10 @@ def short_text_matches(texts: DataFrame, text: str, needles: DataFrame, needle:
     return texts.withColumn("_gram", F.explode(grams)).join(keyed, [*on, "_gram"]).where(F.contains(text, F.col(needle))).drop("_gram")
 
 
-def needles_in_texts(texts: DataFrame, ident: Sequence[str], text: Column, needles: DataFrame, needle: str) -> DataFrame:
-    """Distinct (`ident`, needle) pairs where the text contains the needle; needles must hold no white space."""
+def needles_in_texts(texts: DataFrame, ident: Sequence[str], text: Column, needles: DataFrame, needle: str, on: Sequence[str] = ()) -> DataFrame:
+    """Distinct (`ident`, needle) pairs where the text contains the needle; needles must hold no white space. `on` names the columns of
+    `ident` (a tenant, say) that a needle must share with the text."""
     words = texts.select(*ident, F.explode(F.array_distinct(F.split(text, r"(?U)\s+"))).alias("_word")).where("_word <> ''")
-    vocabulary = words.select("_word").distinct()
-    hits = short_text_matches(vocabulary, "_word", needles.select(needle).distinct(), needle)
-    return words.join(hits, "_word").select(*ident, needle).distinct()
+    vocabulary = words.select(*on, "_word").distinct()
+    hits = short_text_matches(vocabulary, "_word", needles.select(*on, needle).distinct(), needle, on)
+    return words.join(hits, [*on, "_word"]).select(*ident, needle).distinct()

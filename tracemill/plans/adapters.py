@@ -29,8 +29,13 @@ SHAPES = {
                     ELSE concat('gone-', CAST(l_suppkey % 7 AS VARCHAR(9))) END AS skill,
                l_linenumber, l_shipdate AS ts, l_returnflag = 'R' AS failed
         FROM {lineitem}""",
-    # parts as the skill catalog; small ones are archived
+    # parts as the skill catalog; small ones are archived, and of every seventh an archived copy is left in other case
     "catalog": """
+        SELECT p_partkey % 4 AS tenant_id, concat('sKILL-', CAST(p_partkey AS VARCHAR(20))) AS name, 900 AS age_days,
+               CAST(1 AS BIGINT) AS size_bytes, false AS installed, true AS archived, true AS disabled, 0 AS vault_mentions_90d,
+               'measured' AS usage_quality
+        FROM {part} WHERE p_partkey % 7 = 0
+        UNION ALL
         SELECT p_partkey % 4 AS tenant_id, concat('Skill-', CAST(p_partkey AS VARCHAR(20))) AS name, p_size * 5 AS age_days,
                CAST(round(p_retailprice) AS BIGINT) AS size_bytes, p_size > 5 AS installed, p_size <= 5 AS archived,
                p_brand = 'Brand#1' AS disabled, CASE WHEN p_brand = 'Brand#2' THEN 1 ELSE 0 END AS vault_mentions_90d,

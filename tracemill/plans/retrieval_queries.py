@@ -27,19 +27,19 @@ def _summaries(spark, sf_dir):
 
 def _questions(spark, sf_dir):
     b = given(spark, sf_dir, "benchmark")
-    return b.select((F.col("item_id") % 4).alias("tenant_id"), F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("query"))
+    return b.select((F.col("item_id") % 4).alias("tenant_id"), F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_RECALL = ctes("summaries") + """, q AS (SELECT item_id % 4 AS tenant_id, item_id AS query_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS query FROM benchmark),
-f AS (SELECT tenant_id, session_id, status, date, lower(project) AS p, lower(title) AS t, lower(goal_text) AS g, lower(claim_text) AS c, lower(verified_text) AS v, lower(open_text) AS o,
+_RECALL = ctes("summaries") + """, q AS (SELECT item_id % 4 AS tenant_id, item_id AS query_id, lower(trim(text, E' \n\t\r')) AS query FROM benchmark),
+f AS (SELECT tenant_id, session_id, status, date, updated, lower(project) AS p, lower(title) AS t, lower(goal_text) AS g, lower(claim_text) AS c, lower(verified_text) AS v, lower(open_text) AS o,
   lower(decision_text) AS d, lower(correction_text) AS r FROM summaries),
-s AS (SELECT q.tenant_id, q.query_id, f.session_id, date, status,
+s AS (SELECT q.tenant_id, q.query_id, f.session_id, date, updated, status,
   4 * list_sum(list_transform(string_split_regex(query, '\\s+'), lambda w: CASE WHEN contains(concat_ws(' ', p, t, g, c, v, o, d, r), w) THEN 1 ELSE 0 END)) AS words,
   40 * contains(p, query)::INT + 24 * contains(t, query)::INT + 18 * contains(g, query)::INT + 4 * contains(c, query)::INT + 20 * contains(v, query)::INT + 12 * contains(o, query)::INT
   + 24 * contains(d, query)::INT + 32 * contains(r, query)::INT AS fields FROM q JOIN f USING (tenant_id)),
-z AS (SELECT tenant_id, query_id, session_id, CAST(words + fields + CASE WHEN status <> 'done' THEN 8 ELSE 0 END + greatest(0, 10 - least(date_diff('day', date, DATE '2024-03-15'), 10)) AS BIGINT) AS score
+z AS (SELECT tenant_id, query_id, session_id, date, updated, CAST(words + fields + CASE WHEN status <> 'done' THEN 8 ELSE 0 END + greatest(0, 10 - least(date_diff('day', date, DATE '2024-03-15'), 10)) AS BIGINT) AS score
   FROM s WHERE words > 0)
-SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY score DESC, session_id) AS position FROM z QUALIFY position <= 5"""
+SELECT * EXCLUDE (date, updated), row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY score DESC, date DESC, updated DESC, session_id DESC) AS position FROM z QUALIFY position <= 5"""
 
 
 @query(_RECALL)
@@ -231,15 +231,23 @@ def memory_observations(spark, sf_dir):
     return o.select("memory_id", "applied_tasks", "failed", "unknown", "user_accepted", "verified_success", F.array_join("recent_corrections", "|").alias("recent"))
 
 
-_BRIEF = """WITH RECURSIVE t AS (SELECT item_id AS task_id, concat('src', CAST(item_id % 20 AS VARCHAR)) AS project, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]{2,}')) AS terms FROM benchmark),
+def _round(k: int) -> str:
+    """The k-th item taken of each task: the next one in rank that still fits."""
+    before = f"g{k - 1}" if k > 1 else "(SELECT DISTINCT task_id, 0::BIGINT AS n, 0::BIGINT AS used FROM r)"
+    gap = 2 if k > 1 else 0
+    return f"""
+g{k} AS (SELECT b.task_id, r.n, r.memory_id, b.used + r.size + {gap} AS used, {k} AS position FROM {before} b JOIN r ON r.task_id = b.task_id AND r.n > b.n AND b.used + r.size + {gap} <= 2400
+  QUALIFY row_number() OVER (PARTITION BY b.task_id ORDER BY r.n) = 1)"""
+
+
+_BRIEF = """WITH t AS (SELECT item_id AS task_id, concat('src', CAST(item_id % 20 AS VARCHAR)) AS project, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]{2,}')) AS terms FROM benchmark),
+tt AS (SELECT task_id, project, len(terms) AS n_terms, unnest(terms) AS term FROM t),
 e AS (SELECT doc_id AS memory_id, CASE WHEN doc_id % 3 = 0 THEN 'global' ELSE source END AS scope, length(text) AS size, list_distinct(regexp_extract_all(lower(concat_ws(' ', substring(text, 1, 60), text, lang)), '[a-z0-9_-]{2,}')) AS terms FROM documents),
-p AS (SELECT task_id, memory_id, size, len(list_intersect(t.terms, e.terms)) / greatest(len(t.terms), 1) + CASE WHEN scope = project THEN 0.1 ELSE 0.0 END AS score
-  FROM t JOIN e ON (scope = 'global' OR scope = project) WHERE len(list_intersect(t.terms, e.terms)) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, memory_id) AS n FROM p),
-g AS (SELECT task_id, 0::BIGINT AS n, 0::BIGINT AS used, 0 AS taken, -1::BIGINT AS memory_id, false AS took FROM t UNION ALL
-  SELECT g.task_id, r.n, CASE WHEN ok THEN g.used + r.size + CASE WHEN g.taken > 0 THEN 2 ELSE 0 END ELSE g.used END, CASE WHEN ok THEN g.taken + 1 ELSE g.taken END, r.memory_id, ok
-  FROM g JOIN (SELECT * FROM r) r ON r.task_id = g.task_id AND r.n = g.n + 1, LATERAL (SELECT g.taken < 5 AND g.used + r.size + CASE WHEN g.taken > 0 THEN 2 ELSE 0 END <= 2400 AS ok) x)
-SELECT task_id, memory_id, taken AS position FROM g WHERE took"""
+et AS (SELECT memory_id, scope, size, unnest(terms) AS term FROM e),
+p AS (SELECT task_id, memory_id, any_value(size) AS size, count(*) / any_value(n_terms) + CASE WHEN any_value(scope) = any_value(project) THEN 0.1 ELSE 0.0 END AS score FROM (
+  SELECT * FROM tt JOIN et ON et.term = tt.term AND et.scope = tt.project UNION ALL SELECT * FROM tt JOIN et ON et.term = tt.term AND et.scope = 'global') GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, memory_id) AS n FROM p),""" + ",".join(map(_round, range(1, 6))) + """
+SELECT task_id, memory_id, position FROM (""" + " UNION ALL ".join(f"SELECT task_id, memory_id, position FROM g{k}" for k in range(1, 6)) + ")"
 
 
 @query(_BRIEF)

@@ -30,11 +30,13 @@ ps AS (SELECT tenant_id, skill, session_id, count(*) AS n, count(*) FILTER (WHER
 metrics AS (SELECT tenant_id, skill, count(*) AS load_sessions, count(*) FILTER (WHERE r) AS load_sessions_30d, CAST(sum(e) AS BIGINT) AS self_errors,
   CAST(sum(re) AS BIGINT) AS recent_self_errors, count(*) FILTER (WHERE n >= 2) AS reload_sessions,
   CAST(floor(date_diff('second', max(last), {_AS_OF}) / 86400) AS BIGINT) AS last_used_days FROM ps GROUP BY ALL),
+cat AS (SELECT * EXCLUDE (archived, nth, any_archived), any_archived AS archived FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, lower(name) ORDER BY installed DESC, name) AS nth,
+  bool_or(archived) OVER (PARTITION BY tenant_id, lower(name)) AS any_archived FROM catalog) WHERE nth = 1),
 facts AS (SELECT coalesce(c.tenant_id, m.tenant_id) AS tenant_id, coalesce(c.name, m.skill) AS name, coalesce(c.installed, false) AS installed,
   coalesce(c.disabled, false) AS disabled, coalesce(c.archived, false) AS archived, c.size_bytes, c.age_days, coalesce(m.load_sessions, 0) AS load_sessions,
   coalesce(m.load_sessions_30d, 0) AS load_sessions_30d, coalesce(m.self_errors, 0) AS self_errors, coalesce(m.recent_self_errors, 0) AS recent_self_errors,
   coalesce(m.reload_sessions, 0) AS reload_sessions, m.last_used_days, coalesce(c.vault_mentions_90d, 0) AS vault_mentions_90d
-  FROM catalog c FULL JOIN metrics m ON m.tenant_id = c.tenant_id AND m.skill = lower(c.name))
+  FROM cat c FULL JOIN metrics m ON m.tenant_id = c.tenant_id AND m.skill = lower(c.name))
 """
 
 
@@ -147,7 +149,7 @@ def cap_totals(spark, sf_dir):
     return K.cap_plan(_facts(spark, sf_dir))[1]
 
 
-@query("SELECT p_partkey % 4 AS tenant_id, count(*) AS skills, count(*) FILTER (WHERE p_size <= 5) AS archived, sum(CAST(round(p_retailprice) AS BIGINT))::BIGINT AS bytes FROM part GROUP BY 1")
+@query(ctes("catalog") + "SELECT tenant_id, count(*) AS skills, count(*) FILTER (WHERE archived) AS archived, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM catalog GROUP BY 1")
 def skill_catalog(spark, sf_dir):
     return shape(spark, sf_dir, "catalog").groupBy("tenant_id").agg(F.count("*").alias("skills"), F.count_if("archived").alias("archived"), F.sum("size_bytes").alias("bytes"))
 

@@ -1,7 +1,10 @@
-"""The stored session index: versioned snapshots behind a pointer, cards by date, vectors by model, health rows."""
+"""The stored session index: full snapshots in folders of their own, cards by date, vectors by model, health rows."""
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote, unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +23,32 @@ class DamagedIndex(ValueError):
     """The stored index breaks a rule; nothing may be written over it."""
 
 
-def _pointer(spark: SparkSession, base: str) -> int | None:
-    try:
-        row = spark.read.schema("version long").json(f"{base}/pointer").agg(F.max("version")).head()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return row[0]
+def _snapshots(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    """(number, batch) of every finished snapshot, oldest first. A write that did not finish has no _SUCCESS file and does not count."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/snapshots")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    done = [x.getPath() for x in files.listStatus(path)]
+    names = [x.getName() for x in done if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted((int(n), unquote(batch)) for n, _, batch in (name.partition("-") for name in names))
+
 
+def write_summaries(summaries: DataFrame, base: str, batch: str | None = None) -> bool:
+    """Stores a full snapshot in a folder of its own; it counts once Spark has committed it, and earlier ones stay readable.
 
-def write_summaries(summaries: DataFrame, base: str, version: int) -> None:
-    """Stores a full snapshot under its version and then points to it. Earlier versions stay; replaying a version rewrites it."""
+    `batch` names what was merged into it. A batch that has a finished snapshot is done: nothing is written and False returned. There is
+    one writer per index. The number is one more than the newest snapshot's, whatever the batch is called, so nothing written is hidden.
+    """
     spark = summaries.sparkSession
-    fields = [F.col(c) for c in summaries.columns]
-    ordered = summaries.select(*fields).repartitionByRange("date", "updated", "session_id").sortWithinPartitions(F.desc("date"), F.desc("updated"), F.desc("session_id"))
-    ordered.write.mode("overwrite").json(f"{base}/version={version}")
-    if _pointer(spark, base) is None or version > _pointer(spark, base):
-        spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{base}/pointer")
+    known = _snapshots(spark, base)
+    if batch is not None and batch in {b for _, b in known}:
+        return False
+    number = known[-1][0] + 1 if known else 0
+    ordered = summaries.repartitionByRange("date", "updated", "session_id").sortWithinPartitions(F.desc("date"), F.desc("updated"), F.desc("session_id"))
+    # A failed write of the same number may have left its folder without _SUCCESS; nobody reads that.
+    ordered.write.mode("overwrite").json(f"{base}/snapshots/{number:012d}-{quote(batch if batch is not None else uuid.uuid4().hex, safe='')}")
+    return True
 
 
 def violations(rows: DataFrame) -> DataFrame:
@@ -59,11 +70,12 @@ def check_summaries(rows: DataFrame) -> DataFrame:
 
 
 def read_summaries(spark: SparkSession, base: str) -> DataFrame:
-    """Current snapshot, checked. A line that does not parse, or a row that breaks a rule, stops the job."""
-    version = _pointer(spark, base)
-    if version is None:
+    """Newest finished snapshot, checked. A line that does not parse, or a row that breaks a rule, stops the job."""
+    known = _snapshots(spark, base)
+    if not known:
         return spark.createDataFrame([], SUMMARIES)
-    lines = spark.read.text(f"{base}/version={version}").where("trim(value) <> ''")
+    number, batch = known[-1]
+    lines = spark.read.text(f"{base}/snapshots/{number:012d}-{quote(batch, safe='')}").where("trim(value) <> ''")
     parsed = lines.select("value", F.from_json("value", SUMMARIES + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
     if parsed.where("r IS NULL OR r._broken IS NOT NULL").head() is not None:
         raise DamagedIndex("a line of the index does not parse")

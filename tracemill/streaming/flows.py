@@ -12,7 +12,10 @@ from tracemill.operators.sessions import index_health, merge_summaries
 
 
 def dedupe_events(stream: DataFrame, keys: list[str], *, time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """First event per key; a repeat is recognised as long as it arrives within the delay."""
+    """The event of each key that arrives first; a repeat is recognised as long as it arrives within the delay.
+
+    Arrival decides in the stream, since its rows can't be taken back; where events arrive in order of time and id, it keeps the same rows
+    as the batch form, which decides by time."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
@@ -27,15 +30,16 @@ def tumbling_counts(events: DataFrame, by: list[str], *, time: str = "ts", width
         F.col("w.start").alias("start"), *by, "n")
 
 
-def ingest_batch(read_index: Callable[[], DataFrame], write_index: Callable[[DataFrame, int], None], write_health: Callable[[DataFrame], None], summarize: Callable[[DataFrame], DataFrame]):
-    """`foreachBatch` function: summarize the new records, merge them into the index, store a new version and its health row.
+def ingest_batch(read_index: Callable[[], DataFrame], write_index: Callable[[DataFrame, str], bool], write_health: Callable[[DataFrame], None], summarize: Callable[[DataFrame], DataFrame], stream: str):
+    """`foreachBatch` function: summarize the new records, merge them into the index, store a new snapshot and its health row.
 
-    A batch that is replayed writes the same version again, so the index does not depend on how often a batch ran.
+    `stream` names the checkpoint. A batch is known by that name and its number, so a replayed batch changes nothing, and a stream with a
+    new checkpoint, whose numbers start again, needs a new name. `write_index` says whether it wrote; only then is there a health row.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         merged = merge_summaries(read_index(), summarize(batch))
-        write_index(merged.drop("action"), batch_id)
-        write_health(index_health(merged, F.current_timestamp()).withColumn("batch_id", F.lit(batch_id)))
+        if write_index(merged.drop("action"), f"{stream}:{batch_id}"):
+            write_health(index_health(merged, F.current_timestamp()).withColumn("batch_id", F.lit(batch_id)))
 
     return run
