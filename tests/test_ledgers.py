@@ -111,7 +111,7 @@ def test_seal_sees_every_change(spark):
 
 def test_coverage_of_one_tenant_with_most_rows(spark):
     packet = spark.createDataFrame([(1, f"C{k}", k % 2 == 0) for k in range(40)] + [(2, "F1", False)], "tenant_id int, item_id string, required boolean")
-    text = REPLY_HEADING + "x" * 100
+    text = REPLY_HEADING + "x" * 100 + " "
     replies = spark.createDataFrame([(1, k, text + " ".join(f"C{j}" for j in range(40) if j != k)) for k in range(40)] + [(2, 1, text), (3, 1, text), (1, 99, "C1")], "tenant_id int, reply_id int, text string")
     got = {(r.tenant_id, r.reply_id): (r.missing, r.verdict) for r in V.review_coverage(packet, replies).collect()}
     assert all(got[1, k] == ((1, "missing_coverage") if k % 2 == 0 else (0, "accepted")) for k in range(40))

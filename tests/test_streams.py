@@ -85,12 +85,10 @@ def test_dedupe_stream_keeps_the_first_to_arrive(spark, events, tmp_path):
 SUMMARY = dict(tenant_id=1, date=dt.date(2024, 1, 1), title="t", project="p", status="done", evidence_count=1, claims=["a"], verified=[], open_items=[], decisions=[], corrections=[], message_count=2, count_quality="exact")
 
 
-def summaries(spark, *ids, **fields):
-    rows = [SUMMARY | {"session_id": i, "updated": T0} | fields for i in ids]
-    return spark.createDataFrame([tuple(r[f.name] if f.name in r else None for f in S.fields) for r in rows], S)
-
-
-S = T.StructType.fromDDL(I.SUMMARIES)
+def summaries(spark, *ids):
+    schema = T.StructType.fromDDL(I.SUMMARIES)
+    rows = [SUMMARY | {"session_id": i, "updated": T0} for i in ids]
+    return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
 
 
 @pytest.fixture()
@@ -140,7 +138,7 @@ def test_stream_into_the_stored_index(spark, stored, tmp_path):
     src = str(tmp_path / "src")
     for part in ("a", "b"):
         summaries(spark, part).write.mode("append").parquet(src)
-        spark.readStream.schema(S).parquet(src).writeStream.foreachBatch(run("s")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        spark.readStream.schema(I.SUMMARIES).parquet(src).writeStream.foreachBatch(run("s")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     assert ids(spark, base) == ["a", "b"]
-    spark.readStream.schema(S).parquet(src).writeStream.foreachBatch(run("s2")).option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start().awaitTermination()
+    spark.readStream.schema(I.SUMMARIES).parquet(src).writeStream.foreachBatch(run("s2")).option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start().awaitTermination()
     assert ids(spark, base) == ["a", "b"]
