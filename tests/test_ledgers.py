@@ -85,7 +85,7 @@ def test_experience_ledger(spark):
     said = spark.createDataFrame(
         [(1, "t1", None, "user_accepted", ["m"], ["ran it"], ["preserve history"], ref), (2, "t1", None, "user_accepted", ["m"], ["ran it"], ["preserve history"], ref), (3, "t2", None, "unknown", [], [], [], [])],
         "pos long, task_id string, receipt_id string, outcome_status string, applied_memory_ids array<string>, observed_actions array<string>, user_corrections array<string>, evidence_refs array<struct<path:string,quote:string>>")
-    ok, refused = X.record_feedback(receipts.withColumn("created_at", as_of()), spark.createDataFrame([], "feedback_id string"), said, docs, as_of())
+    ok, refused = X.record_feedback(receipts, spark.createDataFrame([], "feedback_id string"), said, docs, as_of())
     assert ok.count() == 1 and [x.reason for x in refused.collect()] == ["no_receipt_for_task"]
 
 
@@ -130,3 +130,23 @@ def test_catalog_entries_of_one_name_are_one_record(spark):
     assert len(got) == facts.count() == 3 and (got[1, "demo"].name, got[1, "demo"].installed, got[1, "demo"].archived, got[1, "demo"].size_bytes) == ("Demo", True, True, 10)
     totals = {r.tenant_id: (r.total_installed, r.used, r.dead, r.broken_ref) for r in L.usage_totals(facts).collect()}
     assert totals == {1: (1, 1, 0, 0), 2: (1, 0, 1, 0)}
+
+
+def test_two_briefs_of_a_task_have_two_receipts(spark):
+    tasks = spark.createDataFrame([("t", "tests first", "", "p")], "task_id string, query string, family string, project string")
+    items = spark.createDataFrame([("m", 1, "global", "f", "tests", "run", "none", "chunk")], "memory_id string, revision int, scope string, task_family string, conditions string, recommended_action string, avoid string, chunk string")
+    first, second = (X.brief(tasks, items, as_of=F.lit(f"2024-03-1{d}").cast("timestamp"))[1] for d in (1, 2))
+    both = first.unionByName(second)
+    assert both.select("receipt_id").distinct().count() == 2 and {r.max_chars for r in both.collect()} == {2400}
+    said = spark.createDataFrame([(1, "t", None, "unknown", ["m"], ["ran it"], [], [])], "pos long, task_id string, receipt_id string, outcome_status string, applied_memory_ids array<string>, observed_actions array<string>, user_corrections array<string>, evidence_refs array<struct<path:string,quote:string>>")
+    ok, refused = X.record_feedback(both.unionByName(second), spark.createDataFrame([], "feedback_id string"), said, spark.createDataFrame([], "path string, text string"), as_of())
+    assert refused.isEmpty() and [r.receipt_id for r in ok.collect()] == [second.head().receipt_id]
+
+
+def test_follow_ups_of_one_old_id(spark):
+    old = [("P1", "enhance", f"t{k}", "done") for k in range(60)] + [("P1", "retire", "t0", "done"), ("P2", "enhance", "x", "done")]
+    follow = spark.createDataFrame([(1, k, "P1", f"t{k}", "worse") for k in range(60)] + [(1, 100, "P1", None, "worse"), (1, 101, "P2", None, "worse"), (1, 102, "P2", "y", "worse")], "tenant_id long, follow_up_id long, proposal_id string, target string, result string")
+    got = {r.follow_up_id: r.link_status for r in P.link_follow_ups(follow, props(spark, old)).collect()}
+    assert sorted(k for k, v in got.items() if v == "unresolved") == [0, 100, 102]
+    kinds = follow.where("follow_up_id = 0").withColumn("kind", F.lit("retire"))
+    assert P.link_follow_ups(kinds, props(spark, old)).head().link_status == "verified"

@@ -138,7 +138,3 @@ def is_protected(name: Column, *, retire: bool, essential=V.ESSENTIAL_SKILLS, pr
     """Skills never disabled by rule; retiring protects one prefix more than the size cap does."""
     prefixes = tuple(prefixes) + ((V.RETIRE_EXTRA_PREFIX,) if retire else ())
     return name.isin(*essential) | name.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")")
-
-
-def squeeze_text(c: Column) -> Column:
-    return strip(squeeze(c))

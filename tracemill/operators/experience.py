@@ -121,12 +121,13 @@ def remember(versions: DataFrame, batch: DataFrame, documents: DataFrame, as_of:
     return written.unionByName(closed), rejected
 
 
-def brief(tasks: DataFrame, experiences: DataFrame, *, max_chars: int = 2400, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def brief(tasks: DataFrame, experiences: DataFrame, *, max_chars: int = 2400, k: int = 5, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen experiences per task, one receipt per task).
 
     Tasks: `task_id, query, family, project`. Experiences carry `chunk`, the text that would be shown. Candidates share a term
     with the query (or the family when there is no query), rank by shared terms and own project, and are packed greedily: what
-    does not fit is skipped. Each of the `k` rounds takes the best next candidate that fits, so no list of candidates is kept.
+    does not fit is skipped. A receipt tells when (`as_of`, else now) and within how many characters it was made; the time is part of its id,
+    so a later brief of a task has a receipt of its own. Each of the `k` rounds takes the best next candidate that fits, so no list of candidates is kept.
     """
     asked = tasks.select("task_id", F.coalesce("query", F.lit("")).alias("query"), F.coalesce("family", F.lit("")).alias("family"), F.coalesce("project", F.lit("")).alias("project"))
     asked = asked.withColumn("terms", K.terms("query"))
@@ -155,8 +156,11 @@ def brief(tasks: DataFrame, experiences: DataFrame, *, max_chars: int = 2400, k:
         rows = pick.select("task_id", F.lit(n + 1).alias("position"), F.col("p.rank.memory_id").alias("memory_id"), "p.revision", "p.size", "p.score")
         chosen = rows if chosen is None else chosen.unionByName(rows)
     kept = chosen.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "memory_id", "revision"))), lambda s: F.struct(s["memory_id"].alias("memory_id"), s["revision"].alias("revision"))).alias("_k"))
+    made = F.current_timestamp() if as_of is None else as_of.cast("timestamp")
+    asked = asked.withColumns({"created_at": made, "max_chars": F.lit(max_chars)})
     receipts = asked.join(kept, "task_id", "left").select(
-        K.content_id(F.col("task_id"), F.col("query"), F.col("family"), F.col("project"), prefix="rec-", digits=32).alias("receipt_id"), "task_id", "query", "family", "project",
+        K.content_id(F.col("task_id"), F.col("query"), F.col("family"), F.col("project"), F.unix_micros("created_at").cast("string"), prefix="rec-", digits=32).alias("receipt_id"),
+        "task_id", "query", "family", "project", "created_at", "max_chars",
         F.transform(F.coalesce("_k", F.array().cast(kept.schema["_k"].dataType)), lambda s: s["memory_id"]).alias("retrieved_ids"),
         F.map_from_entries(F.coalesce("_k", F.array().cast(kept.schema["_k"].dataType))).alias("revisions"))
     return chosen, receipts
@@ -190,7 +194,7 @@ def record_feedback(receipts: DataFrame, known: DataFrame, batch: DataFrame, doc
     refs = checked_refs(b.select("pos", F.explode("evidence_refs").alias("r")).select("pos", "r.path", "r.quote"), documents)
     broken = refs.where(~F.col("holds")).select("pos").distinct().withColumn("broken", F.lit(True))
     newest = top_rows(receipts.select("task_id", F.col("receipt_id").alias("newest"), "created_at"), ["task_id"], [F.desc("created_at"), F.desc("newest")], 1).drop("created_at")
-    named = receipts.select("task_id", F.col("receipt_id").alias("_rid"), "retrieved_ids", "revisions")
+    named = top_rows(receipts.select("task_id", F.col("receipt_id").alias("_rid"), "retrieved_ids", "revisions", "created_at"), ["task_id", "_rid"], [F.desc("created_at")], 1).drop("created_at")
     j = b.join(newest, "task_id", "left").withColumn("_rid", F.coalesce("receipt_id", "newest")).join(named, ["task_id", "_rid"], "left").join(broken, "pos", "left")
     quoted = F.forall("user_corrections", lambda t: F.exists("evidence_refs", lambda r: F.contains(r["quote"], t)))
     needs = (F.col("outcome_status") != "unknown") | (F.size("user_corrections") > 0)

@@ -107,8 +107,3 @@ def ordered_list(value: str | Column, order: str | Column) -> Column:
     v = F.col(value) if isinstance(value, str) else value
     o = F.col(order) if isinstance(order, str) else order
     return F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), v.alias("v")))), lambda s: s["v"])
-
-
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """True when `df` has at most `rows` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows

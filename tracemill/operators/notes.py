@@ -131,12 +131,11 @@ def skill_mentions(names: DataFrame, notes: DataFrame) -> DataFrame:
     wanted = names.select(low.alias("name")).where(F.length("name") >= 6).distinct()
     wanted = wanted.withColumn("token", F.when(longest == "", F.concat(F.lit("2:"), F.substring("name", 1, 2))).otherwise(longest))
     body = F.lower("body")
-    found = F.regexp_extract_all(body, F.lit(_TOKEN), 0)
-    if wanted.where(F.startswith("token", F.lit("2:"))).head() is not None:
-        others = F.regexp_extract_all(body, F.lit("[^a-z0-9-]{2,}"), 0)
-        found = F.concat(found, F.flatten(F.transform(others, lambda r: F.transform(
-            F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.concat(F.lit("2:"), F.substr(r, i, F.lit(2)))))))
-    at = notes.select("path", F.explode(F.array_distinct(found)).alias("token"))
+    at = notes.select("path", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(_TOKEN), 0))).alias("token"))
+    pairs = F.transform(F.regexp_extract_all(body, F.lit("[^a-z0-9-]{2,}"), 0), lambda r: F.transform(
+        F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.concat(F.lit("2:"), F.substr(r, i, F.lit(2)))))
+    tokenless = wanted.where(F.startswith("token", F.lit("2:"))).select("token").distinct()
+    at = at.unionByName(notes.select("path", F.explode(F.array_distinct(F.flatten(pairs))).alias("token")).join(tokenless, "token", "left_semi"))
     hit = at.join(wanted, "token")
     single = hit.where("name = token").select("path", "name")
     longer = hit.where("name <> token").join(notes.select("path", body.alias("_body")), "path")

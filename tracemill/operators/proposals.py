@@ -71,13 +71,14 @@ def repair_identities(proposals: DataFrame) -> DataFrame:
 
 def link_follow_ups(follow_ups: DataFrame, proposals: DataFrame) -> DataFrame:
     """Follow-ups tied to the one done proposal that had their id and target; anything ambiguous becomes inconclusive."""
-    old = proposals.where("status = 'done'").select(
-        "tenant_id", F.coalesce("legacy_id", "id").alias("proposal_id"), F.col("id").alias("_id"), F.col("uid").alias("_uid"), F.col("target").alias("_target"), F.col("kind").alias("_kind"))
+    # Done proposals are counted under what a follow-up may name: target and kind, either of them, or none. Then a follow-up meets one row.
+    done = proposals.where("status = 'done'")
+    named = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit("")), F.lit("")))
+    old = done.select("tenant_id", F.coalesce("legacy_id", "id").alias("proposal_id"), F.struct(F.col("id").alias("_id"), F.col("uid").alias("_uid")).alias("_p"), "kind", F.explode(named("target")).alias("_wt"))
+    old = old.withColumn("_wk", F.explode(named("kind"))).groupBy("tenant_id", "proposal_id", "_wt", "_wk").agg(F.count("*").alias("_n"), F.min("_p").alias("_p")).where("_n = 1")
     kind = F.col("kind") if "kind" in follow_ups.columns else F.lit(None).cast("string")
-    match = follow_ups.withColumn("_want", kind).join(old, ["tenant_id", "proposal_id"]).where(
-        (F.coalesce("target", F.lit("")).isin("") | (F.col("target") == F.col("_target"))) & (F.coalesce("_want", F.lit("")).isin("") | (F.col("_want") == F.col("_kind"))))
-    one = match.groupBy("tenant_id", "follow_up_id").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_uid")).alias("_p")).where("_n = 1")
-    j = follow_ups.join(one, ["tenant_id", "follow_up_id"], "left")
+    wanted = follow_ups.withColumns({"_wt": F.coalesce("target", F.lit("")), "_wk": F.coalesce(kind, F.lit(""))})
+    j = wanted.join(old, ["tenant_id", "proposal_id", "_wt", "_wk"], "left").drop("_wt", "_wk")
     linked = F.col("_p").isNotNull()
     return (
         j.withColumn("legacy_proposal_id", F.when(linked, F.col("proposal_id"))).withColumn("proposal_id", F.coalesce("_p._id", "proposal_id"))
@@ -248,6 +249,12 @@ def reply_proposals(replies: DataFrame, *, k: int = 8) -> DataFrame:
         F.substring("evidence", 1, 180).alias("evidence"), F.substring("action", 1, 120).alias("action"))
 
 
+def skip_settled(batch: DataFrame, proposals: DataFrame) -> DataFrame:
+    """The new proposals (`tenant_id, target`) without those whose target was rejected, done or is pending already, whatever the kind."""
+    settled = proposals.where(F.col("status").isin("rejected", "done", "pending")).select("tenant_id", "target").distinct()
+    return batch.join(settled, ["tenant_id", "target"], "left_anti")
+
+
 def reply_preferences(replies: DataFrame) -> DataFrame:
     """Preference candidates in reply texts."""
     rule, evidence, why = V.PREFERENCE_PARTS

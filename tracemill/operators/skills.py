@@ -36,7 +36,9 @@ def call_outcomes(calls: DataFrame, messages: DataFrame) -> DataFrame:
     """
     tool = messages.where("role = 'tool'").select(*KEYS, "msg_id", "tool_call_id", F.col("content").isNotNull().alias("told"), K.tool_failed("content").alias("failed"))
     direct = tool.where("tool_call_id IS NOT NULL").groupBy("tenant_id", "tool_call_id").agg(F.min_by("failed", "msg_id").alias("own"))
-    judged = calls.join(direct.withColumnRenamed("tool_call_id", "call_id"), ["tenant_id", "call_id"], "left")
+    # Calls without an id can't have a result of their own and stay out of the join, where their nulls would be one key.
+    own = direct.withColumnRenamed("tool_call_id", "call_id")
+    judged = calls.where("call_id IS NOT NULL").join(own, ["tenant_id", "call_id"], "left").unionByName(calls.where("call_id IS NULL").withColumn("own", F.lit(None).cast("boolean")))
     open_calls = judged.where("own IS NULL")
     columns = ["skill", "call_id", "call_no", "ts"]
     both = open_calls.select(*KEYS, "msg_id", *columns, F.lit(None).cast("boolean").alias("_f")).unionByName(

@@ -14,7 +14,7 @@ def as_of():
     return F.lit("2024-03-15").cast("timestamp")
 
 
-_PROPOSALS = """SELECT o_custkey % 16 AS tenant_id, o_orderkey AS pos, concat('P', lpad(CAST(o_orderkey // 2 % 9000 AS VARCHAR), 3, '0')) AS id, concat('u', CAST(o_orderkey AS VARCHAR)) AS uid,
+_PROPOSALS = """SELECT o_custkey % 16 AS tenant_id, o_orderkey AS pos, concat('P', CASE WHEN o_orderkey // 2 % 9000 < 1000 THEN lpad(CAST(o_orderkey // 2 % 9000 AS VARCHAR), 3, '0') ELSE CAST(o_orderkey // 2 % 9000 AS VARCHAR) END) AS id, concat('u', CAST(o_orderkey AS VARCHAR)) AS uid,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'retire' WHEN o_orderpriority LIKE '2%' THEN 'fix_reference' ELSE 'enhance' END AS kind,
   concat(CASE o_orderkey % 3 WHEN 0 THEN 'hermes-agent' WHEN 1 THEN 'zh-copy-preflight' ELSE 'skill-' END, CAST(o_custkey AS VARCHAR)) AS target,
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'approved' END AS status FROM orders"""
@@ -27,7 +27,7 @@ def _props(spark, sf_dir):
     number = (F.floor(k / 2) % 9000).cast("string")
     stem = F.when(k % 3 == 0, "hermes-agent").when(k % 3 == 1, "zh-copy-preflight").otherwise("skill-")
     return o.select(
-        (F.col("o_custkey") % 16).alias("tenant_id"), k.alias("pos"), F.concat(F.lit("P"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(F.substring(number, 1, 3))).alias("id"),
+        (F.col("o_custkey") % 16).alias("tenant_id"), k.alias("pos"), F.concat(F.lit("P"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)).alias("id"),
         F.concat(F.lit("u"), k.cast("string")).alias("uid"), F.lit(None).cast("string").alias("legacy_id"),
         F.when(pri.startswith("1"), "retire").when(pri.startswith("2"), "fix_reference").otherwise("enhance").alias("kind"), F.concat(stem, F.col("o_custkey").cast("string")).alias("target"),
         F.lit("because").alias("reason"), F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("approved").alias("status"),
@@ -47,7 +47,7 @@ def repaired_identities(spark, sf_dir):
     return P.repair_identities(_props(spark, sf_dir)).select("tenant_id", "pos", "id", "legacy_id")
 
 
-_FU = """, fu AS (SELECT o_custkey % 16 AS tenant_id, o_orderkey AS follow_up_id, concat('P', lpad(CAST(o_orderkey // 2 % 9000 AS VARCHAR), 3, '0')) AS proposal_id,
+_FU = """, fu AS (SELECT o_custkey % 16 AS tenant_id, o_orderkey AS follow_up_id, concat('P', CASE WHEN o_orderkey // 2 % 9000 < 1000 THEN lpad(CAST(o_orderkey // 2 % 9000 AS VARCHAR), 3, '0') ELSE CAST(o_orderkey // 2 % 9000 AS VARCHAR) END) AS proposal_id,
   concat(CASE o_orderkey % 3 WHEN 0 THEN 'hermes-agent' WHEN 1 THEN 'zh-copy-preflight' ELSE 'skill-' END, CAST(o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS target,
   CASE WHEN o_orderkey % 4 = 0 THEN 'worse' END AS result FROM orders)
 """
@@ -264,6 +264,16 @@ def reply_proposals(spark, sf_dir):
     return P.reply_proposals(d.select(k.alias("reply_id"), text.alias("text"))).select("reply_id", "block_no", "kind", "target", "reason")
 
 
+@query(_P + """, st AS (SELECT DISTINCT tenant_id, target FROM props WHERE status IN ('rejected', 'done', 'pending')),
+bt AS (SELECT c_custkey % 16 AS tenant_id, c_custkey AS pos, concat(CASE c_custkey % 3 WHEN 0 THEN 'hermes-agent' WHEN 1 THEN 'zh-copy-preflight' ELSE 'skill-' END, CAST(c_custkey AS VARCHAR)) AS target FROM customer)
+SELECT tenant_id, pos, target FROM bt ANTI JOIN st USING (tenant_id, target)""")
+def unsettled_proposals(spark, sf_dir):
+    c, k = given(spark, sf_dir, "customer"), F.col("c_custkey")
+    stem = F.when(k % 3 == 0, "hermes-agent").when(k % 3 == 1, "zh-copy-preflight").otherwise("skill-")
+    batch = c.select((k % 16).alias("tenant_id"), k.alias("pos"), F.concat(stem, k.cast("string")).alias("target"))
+    return P.skip_settled(batch, _props(spark, sf_dir))
+
+
 @query("""SELECT doc_id AS reply_id, 'quality' AS category, concat('title ', CAST(doc_id AS VARCHAR)) AS title, source AS rule, lang AS evidence, 'because so' AS why FROM documents""")
 def reply_preferences(spark, sf_dir):
     d = given(spark, sf_dir, "documents")
