@@ -84,13 +84,10 @@ def notes_of_day_loose(spark, sf_dir):
 @query(_NOTES + """, body AS (SELECT path, directory, body, doc_id,
   trim(array_to_string(list_filter(string_split(body, chr(10)), lambda l, i: true), chr(10)), E' \\n\\t\\r') AS b FROM titled)
 SELECT path, directory, CAST(doc_id AS VARCHAR) AS title, count(*) OVER (PARTITION BY directory) AS area_notes,
-  md5(concat(substring(b, 1, 300), CASE WHEN length(b) > 300 THEN '...' ELSE '' END)) AS digest FROM body
-WHERE NOT regexp_matches(body, '(^|\\n)\\s*[#>]')""")
+  md5(concat(substring(b, 1, 300), CASE WHEN length(b) > 300 THEN '...' ELSE '' END)) AS digest FROM body""")
 def area_summaries(spark, sf_dir):
     n = _notes(spark, sf_dir)
-    plain = N.area_summary(n)
-    marked = n.where(F.col("body").rlike(r"(^|\n)\s*[#>]")).select("path")
-    return plain.join(marked, "path", "left_anti").select("path", "directory", "title", "area_notes", F.md5("summary").alias("digest"))
+    return N.area_summary(n).select("path", "directory", "title", "area_notes", F.md5("summary").alias("digest"))
 
 
 @query(_NOTES + """, w AS (SELECT unnest(list_distinct(regexp_extract_all(title, '[A-Za-z]{2,}'))) AS word FROM titled)
@@ -117,13 +114,13 @@ def skill_mentions_in_notes(spark, sf_dir):
     return N.skill_mentions(_names(spark, sf_dir), shape(spark, sf_dir, "notes"))
 
 
-@query(ctes("notes") + """, cl AS (SELECT item_id AS cluster_key, substring(text, 1, 60) AS title FROM benchmark ORDER BY length(text) DESC, item_id LIMIT 10),
+@query(ctes("notes") + """, cl AS (SELECT item_id AS cluster_key, text AS title FROM benchmark),
 t AS (SELECT cluster_key, w, count(*) AS times FROM (SELECT cluster_key, unnest(regexp_split_to_array(lower(title), '[\\s/._-]+')) AS w FROM cl) WHERE length(w) >= 4 GROUP BY ALL),
 s AS (SELECT cluster_key, path, sum(times) AS score FROM t JOIN notes ON contains(lower(body), w) GROUP BY ALL HAVING sum(times) >= 2)
 SELECT cluster_key, path, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY cluster_key ORDER BY path) AS position FROM s QUALIFY position <= 3""")
 def cluster_solutions(spark, sf_dir):
     b = given(spark, sf_dir, "benchmark")
-    clusters = b.orderBy(F.desc(F.length("text")), "item_id").limit(10).select(F.col("item_id").alias("cluster_key"), F.substring("text", 1, 60).alias("title"))
+    clusters = b.select(F.col("item_id").alias("cluster_key"), F.col("text").alias("title"))
     return N.cluster_solutions(clusters, shape(spark, sf_dir, "notes"))
 
 
@@ -152,20 +149,20 @@ def routed_notes(spark, sf_dir):
     return N.route_notes(_incoming(spark, sf_dir), _projects(spark, sf_dir), vocab=WORDS).select("note_id", "area")
 
 
-@query(ctes("notes") + """, b AS (SELECT doc_id, directory, concat(CAST(day AS VARCHAR), '-', coalesce(nullif(substring(trim(regexp_replace(replace(substring(body, 1, 4), ' ', '-'), '[^\\p{L}\\p{M}\\p{N}_-]', '-', 'g'), '-'), 1, 50), ''), 'untitled')) AS base FROM notes)
+@query(ctes("notes") + """, b AS (SELECT doc_id, directory, concat(CAST(day AS VARCHAR), '-', coalesce(nullif(substring(trim(regexp_replace(replace(body, ' ', '-'), '[^\\p{L}\\p{M}\\p{N}_-]', '-', 'g'), '-'), 1, 50), ''), 'untitled')) AS base FROM notes)
 SELECT doc_id AS note_id, concat(base, CASE WHEN n > 1 THEN concat('-', CAST(n AS VARCHAR)) ELSE '' END, '.md') AS file_name FROM (
   SELECT *, row_number() OVER (PARTITION BY directory, base ORDER BY doc_id) AS n FROM b)""")
 def note_file_names(spark, sf_dir):
-    n = shape(spark, sf_dir, "notes").select(F.col("doc_id").alias("note_id"), F.col("directory").alias("area"), F.substring("body", 1, 4).alias("title"), "day")
+    n = shape(spark, sf_dir, "notes").select(F.col("doc_id").alias("note_id"), F.col("directory").alias("area"), F.col("body").alias("title"), "day")
     return N.unique_names(n, chunk=F.floor(F.col("note_id") / 100000)).select("note_id", "file_name")
 
 
-@query(ctes("notes") + """, c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('## 摘要', chr(10), substring(body, 1, doc_id % 30), chr(10), '## next') WHEN 1 THEN concat('## 摘要 x', chr(10), body) ELSE body END AS content FROM notes)
+@query(ctes("notes") + """, c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('## 摘要', chr(10), CASE doc_id % 2 WHEN 0 THEN concat(directory, ' ', lang) ELSE body END, chr(10), '## next') WHEN 1 THEN concat('## 摘要 x', chr(10), body) ELSE body END AS content FROM notes)
 SELECT doc_id AS note_id, CASE WHEN doc_id % 3 = 2 THEN 'no_summary' WHEN length(regexp_replace(CASE doc_id % 3 WHEN 0 THEN substring(split_part(content, concat(chr(10), '## next'), 1), 7) ELSE
   regexp_replace(substring(content, 9), '(?s)\\n##.*$', '') END, '\\s', '', 'g')) < 10 THEN 'summary_too_short' ELSE 'accepted' END AS verdict FROM c""")
 def gated_notes(spark, sf_dir):
     k = F.col("doc_id")
-    body = F.when(k % 3 == 0, F.concat(F.lit("## 摘要\n"), F.substr("body", F.lit(1), (k % 30).cast("int")), F.lit("\n## next"))).when(
+    body = F.when(k % 3 == 0, F.concat(F.lit("## 摘要\n"), F.when(k % 2 == 0, F.concat_ws(" ", "directory", "lang")).otherwise(F.col("body")), F.lit("\n## next"))).when(
         k % 3 == 1, F.concat(F.lit("## 摘要 x\n"), F.col("body"))).otherwise(F.col("body"))
     ok, bad = N.gate_notes(shape(spark, sf_dir, "notes").select(k.alias("note_id"), body.alias("content")))
     return ok.select("note_id", F.lit("accepted").alias("verdict")).unionByName(bad.select("note_id", F.col("reason").alias("verdict")))

@@ -58,12 +58,11 @@ _CLEAN = "trim(regexp_replace(raw, '\\s+', ' ', 'g'), ' -')"
 
 @query(ctes("summaries") + f""", i AS (SELECT session_id, unnest([1,2,3,4,5,6]) AS pos, unnest(['correction','decision','verified','goal','open_item','claim_unverified']) AS unit_kind,
   unnest([correction_text, decision_text, verified_text, goal_text, open_text, claim_text]) AS raw FROM summaries),
-t AS (SELECT *, CASE WHEN length(c) <= 640 THEN c ELSE concat(rtrim(substring(c, 1, 639)), '…') END AS text FROM (SELECT *, {_CLEAN} AS c FROM i WHERE NOT contains(raw, '<') AND NOT contains(raw, '{{') AND NOT contains(raw, '![')))
+t AS (SELECT *, CASE WHEN length(c) <= 640 THEN c ELSE concat(rtrim(substring(c, 1, 639)), '…') END AS text FROM (SELECT *, {_CLEAN} AS c FROM i))
 SELECT session_id, unit_kind, md5(text) AS digest FROM t WHERE text <> ''""")
 def session_units(spark, sf_dir):
     s = _summaries(spark, sf_dir)
-    u = R.session_units(s.select("tenant_id", "session_id", "date", "updated", "project", "title", "cwd", *[
-        F.filter(n, lambda t: ~t.rlike(r"<|\{|!\[")).alias(n) for n, _ in _LISTS]))
+    u = R.session_units(s.select("tenant_id", "session_id", "date", "updated", "project", "title", "cwd", *[n for n, _ in _LISTS]))
     return u.where("unit_kind <> 'session_context'").select(F.col("source_session_id").cast("long").alias("session_id"), "unit_kind", F.md5("text").alias("digest"))
 
 
