@@ -45,7 +45,9 @@ def project_timeline(notes: DataFrame) -> DataFrame:
     day = F.regexp_extract(name, r"^(\d{4}-\d{2}-\d{2})", 1)
     dated = notes.where(name != "TIMELINE").select(
         "project", "path", name.alias("name"), "title", F.when(day == "", F.lit(V.UNKNOWN_DATE)).otherwise(day).alias("day"))
-    slot = F.coalesce(F.datediff(F.col("day").try_cast("date"), F.lit("1970-01-01").cast("date")), F.lit(10_000_000))
+    # Pieces in the order of the numbers: days, then notes without one by the first two bytes of their title.
+    start = F.conv(F.rpad(F.substring(F.hex(F.encode(F.coalesce("title", F.lit("")), "UTF-8")), 1, 4), 4, "0"), 16, 10).cast("int")
+    slot = F.coalesce(F.datediff(F.col("day").try_cast("date"), F.lit("1970-01-01").cast("date")), F.lit(10_000_000) + start)
     placed = number_rows(dated, ["project"], slot, [F.col("day"), F.col("title"), F.col("name"), F.col("path")], "position")
     whole = dated.groupBy("project").agg(F.min("day").alias("first_day"), F.count("*").alias("notes"))
     return placed.join(whole, "project")

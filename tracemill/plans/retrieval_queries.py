@@ -69,21 +69,25 @@ def session_units(spark, sf_dir):
 def _vectors(spark, sf_dir):
     v = shape(spark, sf_dir, "vectors")
     kind = F.when(F.col("kind") == 0, "correction").when(F.col("kind") == 1, "claim_unverified").when(F.col("kind") == 2, "decision").otherwise("goal")
-    return v.select("unit_id", kind.alias("unit_kind"), F.col("source_id").alias("source_session_id"), F.lit(None).cast("string").alias("memory_id"), "embedding")
+    text = F.concat(F.lit("Kind "), F.col("kind").cast("string"), F.lit("  turn-"), (F.col("unit_id") % 7).cast("string"))
+    return v.select("unit_id", kind.alias("unit_kind"), F.col("source_id").alias("source_session_id"), F.lit(None).cast("string").alias("memory_id"), text.alias("text"), "embedding")
 
 
-_SEARCH = ctes("vectors") + """, q AS (SELECT unit_id AS query_id, embedding AS qe FROM vectors WHERE unit_id IN (0, 1)),
-s AS (SELECT q.query_id, v.unit_id, v.source_id, list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.qe AS DOUBLE[])) AS sim,
-  CASE kind WHEN 0 THEN 0.035 WHEN 1 THEN -0.06 WHEN 2 THEN 0.015 ELSE 0.0 END AS bonus FROM q, vectors v),
+# every vector whose id is divisible by 20 asks; units of source 13 are out of scope
+_SEARCH = ctes("vectors") + """, u AS (SELECT *, concat('kind ', CAST(kind AS VARCHAR), ' turn-', CAST(unit_id % 7 AS VARCHAR)) AS t FROM vectors WHERE source_id <> 13),
+q AS (SELECT unit_id AS query_id, embedding AS qe, [concat('turn-', CAST(unit_id // 20 % 7 AS VARCHAR)), 'kind', 'nowhere'] AS terms FROM vectors WHERE unit_id % 20 = 0),
+s AS (SELECT q.query_id, u.unit_id, u.source_id, t, list_inner_product(CAST(u.embedding AS DOUBLE[]), CAST(q.qe AS DOUBLE[])) AS sim,
+  0.08 * list_sum(list_transform(terms, lambda w: CASE WHEN contains(t, w) THEN 1 ELSE 0 END)) / 3 + CASE kind WHEN 0 THEN 0.035 WHEN 1 THEN -0.06 WHEN 2 THEN 0.015 ELSE 0.0 END AS bonus FROM q, u),
 h AS (SELECT *, sim + bonus AS sc FROM s WHERE sim >= {limit}),
-f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY sc DESC, unit_id) <= 2)
-SELECT CAST(query_id AS VARCHAR) AS query_id, unit_id, round(sim, 6) AS similarity, round(sc, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, unit_id) AS position FROM f QUALIFY position <= 20"""
+o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, source_id, t ORDER BY sc DESC, unit_id) = 1),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY sc DESC, unit_id) <= 2)
+SELECT query_id, unit_id, round(sim, 6) AS similarity, round(sc, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, unit_id) AS position FROM f QUALIFY position <= 20"""
 
 
 def _search(spark, sf_dir, limit):
     v = _vectors(spark, sf_dir)
-    asked = [(str(r.unit_id), "", r.embedding) for r in v.where("unit_id IN (0, 1)").select("unit_id", "embedding").collect()]
-    hits = R.vector_search(v, asked, min_similarity=limit, k=20, scope=F.lit(True))
+    asked = v.where("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.concat(F.lit("Turn-"), (F.floor(F.col("unit_id") / 20) % 7).cast("string"), F.lit(" kind NOWHERE")).alias("text"), "embedding")
+    hits = R.vector_search(v, asked, min_similarity=limit, k=20, scope=F.col("source_session_id") != 13, block=64)
     return hits.select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "position")
 
 

@@ -174,13 +174,13 @@ def session_cards(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN source ELSE lang END AS project, CASE doc_id % 3 WHEN 0 THEN strftime(to_timestamp(1700000000 + doc_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') WHEN 1 THEN '2024-01-01 00:00:00' END AS ts,
-coalesce(nullif(substring(trim(regexp_replace(substring(text, 1, 30), '[^\\p{L}\\p{M}\\p{N}_\\-.]+', '-', 'g'), '-.'), 1, 80), ''), '未识别项目') AS slug, source = concat('src', CAST(doc_id % 20 AS VARCHAR)) AS same FROM documents""")
+coalesce(nullif(substring(trim(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}_\\-.]+', '-', 'g'), '-.'), 1, 80), ''), '未识别项目') AS slug, source = concat('src', CAST(doc_id % 20 AS VARCHAR)) AS same FROM documents""")
 def scalar_labels(spark, sf_dir):
     d = given(spark, sf_dir, "documents")
     k = F.col("doc_id")
     cwd = F.when(k % 4 == 0, F.concat(F.lit("/home/x/"), "source", F.lit("/"))).otherwise(F.col("lang"))
     raw = F.when(k % 3 == 0, (k + 1700000000).cast("string")).when(k % 3 == 1, "2024-01-01T08:00:00+08:00").otherwise("soon")
-    return d.select("doc_id", T.project_name(cwd).alias("project"), F.date_format(K.parse_ts(raw), "yyyy-MM-dd HH:mm:ss").alias("ts"), T.slug(F.substring("text", 1, 30)).alias("slug"),
+    return d.select("doc_id", T.project_name(cwd).alias("project"), F.date_format(K.parse_ts(raw), "yyyy-MM-dd HH:mm:ss").alias("ts"), T.slug(F.col("text")).alias("slug"),
                     K.path_matches(F.concat(F.lit("/a/"), "source"), F.concat(F.lit("src"), (k % 20).cast("string"))).alias("same"))
 
 
