@@ -11,13 +11,14 @@ from tracemill.streaming import flows as W
 from tracemill.streaming import triggers as G
 
 
-@query(ctes("alerts").replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) AS n, epoch_us(ts) / 1e6 AS sec FROM alerts),
-s AS (SELECT channel, n, event_id, true AS send, CASE WHEN delivered THEN message END AS d, message AS a, sec AS t FROM o WHERE n = 1 UNION ALL
-  SELECT o.channel, o.n, o.event_id, x.send, CASE WHEN x.send AND o.delivered THEN o.message ELSE s.d END, CASE WHEN x.send THEN o.message ELSE s.a END, CASE WHEN x.send THEN o.sec ELSE s.t END
-  FROM s JOIN o ON o.channel = s.channel AND o.n = s.n + 1, LATERAL (SELECT NOT (coalesce(o.message = s.d, false) OR (o.message = s.a AND o.sec - s.t < 3600)) AS send) x)
+@query(ctes("alerts").replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT * REPLACE (CASE WHEN event_id % 40 <> 0 THEN message END AS message), row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) AS n, epoch_us(ts) / 1e6 AS sec FROM alerts),
+s AS (SELECT channel, n, event_id, message IS NOT NULL AS send, CASE WHEN delivered THEN message END AS d, message AS a, sec AS t FROM o WHERE n = 1 UNION ALL
+  SELECT o.channel, o.n, o.event_id, x.send, CASE WHEN o.message IS NULL OR (x.send AND o.delivered) THEN o.message ELSE s.d END, CASE WHEN o.message IS NULL OR x.send THEN o.message ELSE s.a END, CASE WHEN x.send THEN o.sec ELSE s.t END
+  FROM s JOIN o ON o.channel = s.channel AND o.n = s.n + 1, LATERAL (SELECT o.message IS NOT NULL AND NOT (coalesce(o.message = s.d, false) OR coalesce(o.message = s.a AND o.sec - s.t < 3600, false)) AS send) x)
 SELECT channel, event_id, send FROM s""")
 def suppressed_alerts(spark, sf_dir):
-    return A.suppress_alerts_batch(shape(spark, sf_dir, "alerts")).select("channel", "event_id", "send")
+    alerts = shape(spark, sf_dir, "alerts").withColumn("message", F.when(F.col("event_id") % 40 != 0, F.col("message")))  # every fortieth is a recovery
+    return A.suppress_alerts_batch(alerts).select("channel", "event_id", "send")
 
 
 _TURNS = """WITH RECURSIVE o AS (SELECT user_id AS session_id, event_id, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
