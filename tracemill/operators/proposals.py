@@ -211,11 +211,13 @@ def reconcile(proposals: DataFrame, facts: DataFrame, as_of: Column, *, defer_al
     return moved.withColumn("status", F.coalesce("_to", "status")).select(*proposals.columns)
 
 
-def close_capped(proposals: DataFrame, disabled: DataFrame, as_of: Column) -> DataFrame:
-    """Pending retirements of skills the size cap has disabled become done."""
+def close_capped(proposals: DataFrame, disabled: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(all proposals, those just closed): pending retirements of skills the size cap has disabled become done. The closed ones get their
+    follow-ups by `create_follow_ups`, like any other done proposal."""
     hit = disabled.select("tenant_id", F.col("name").alias("target")).distinct().withColumn("_hit", F.lit(True))
     j = proposals.join(hit, ["tenant_id", "target"], "left").withColumn("_close", F.coalesce(F.col("_hit") & (F.col("status") == "pending") & (F.col("kind") == "retire"), F.lit(False)))
-    return j.withColumn("status", F.when(F.col("_close"), "done").otherwise(F.col("status"))).withColumn("resolved", F.when(F.col("_close"), F.to_date(as_of)).otherwise(F.col("resolved"))).select(*proposals.columns)
+    after = j.withColumn("status", F.when(F.col("_close"), "done").otherwise(F.col("status"))).withColumn("resolved", F.when(F.col("_close"), F.to_date(as_of)).otherwise(F.col("resolved")))
+    return after.select(*proposals.columns), after.where("_close").select(*proposals.columns)
 
 
 def open_queue(proposals: DataFrame, preferences: DataFrame) -> DataFrame:

@@ -206,8 +206,19 @@ def reconciled_proposals(spark, sf_dir):
 
 @query(_REPAIRED + """SELECT r.tenant_id, CASE WHEN status = 'pending' AND kind = 'retire' AND EXISTS (SELECT 1 FROM customer c WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey % 16 = r.tenant_id AND concat('skill-', CAST(c.c_custkey AS VARCHAR)) = r.target) THEN 'done' ELSE status END AS status, count(*) AS n FROM rep r GROUP BY ALL""")
 def closed_by_cap(spark, sf_dir):
+    return _capped(spark, sf_dir)[0].groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
+
+
+def _capped(spark, sf_dir):
     c = given(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") % 16).alias("tenant_id"), F.concat(F.lit("skill-"), F.col("c_custkey").cast("string")).alias("name"))
-    return P.close_capped(_one_per_id(spark, sf_dir), c, as_of()).groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
+    return P.close_capped(_one_per_id(spark, sf_dir), c, as_of())
+
+
+@query(_NEWFU + """SELECT r.tenant_id, r.id AS proposal_id, concat('ref_loads:', target) AS metric, coalesce(f.load_sessions, 0) AS baseline FROM rep r LEFT JOIN fa f ON f.tenant_id = r.tenant_id AND f.name = r.target
+WHERE status = 'pending' AND kind = 'retire' AND EXISTS (SELECT 1 FROM customer c WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey % 16 = r.tenant_id AND concat('skill-', CAST(c.c_custkey AS VARCHAR)) = r.target)""")
+def capped_follow_ups(spark, sf_dir):
+    none = spark.createDataFrame([], "tenant_id long, proposal_id string, proposal_uid string, target string")
+    return P.create_follow_ups(_capped(spark, sf_dir)[1], none, _facts(spark, sf_dir), _clusters(spark, sf_dir), as_of()).select("tenant_id", "proposal_id", "metric", "baseline")
 
 
 _PREFS = """, pb AS (SELECT c_custkey % 16 AS tenant_id, c_custkey AS pos, concat(c_mktsegment, ' ', CAST(c_nationkey AS VARCHAR)) AS title FROM customer),
