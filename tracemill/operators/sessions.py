@@ -218,6 +218,15 @@ def merge_summaries(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, keys, "full").withColumn("action", action).select(*KEYS, *map(pick, fields), "action")
 
 
+def merge_session_rows(old: DataFrame, new: DataFrame, merged: DataFrame) -> DataFrame:
+    """Files or turn ids (a row each, with the session's keys) after `merge_summaries`, whose rows with their `action` are `merged`: the
+    old ones where a session was kept or missing, the new ones where it is new or replaced, both where the rebuild was appended."""
+    def of(rows: DataFrame, *actions: str) -> DataFrame:
+        return rows.join(merged.where(F.col("action").isin(*actions)).select(*KEYS).distinct(), list(KEYS), "left_semi")
+
+    return of(old, "kept", "missing_source", "appended").unionByName(of(new, "new", "replaced", "appended")).distinct()
+
+
 def index_health(merged: DataFrame, checked_at: Column) -> DataFrame:
     """One row of counts about a merge."""
     return merged.agg(

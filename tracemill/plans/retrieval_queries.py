@@ -373,6 +373,14 @@ def merged_summaries(spark, sf_dir):
     return S.merge_summaries(old, new).select("session_id", "action", "message_count", "count_quality", F.md5(F.array_join("claims", "|")).alias("claims"))
 
 
+@query(_MERGE + """SELECT k AS session_id, t AS turn_id FROM m, (VALUES ('a', 1), ('b', 3), ('c', 2)) v(t, side) WHERE action IS NOT NULL AND (action = 'appended' OR side = 3
+  OR side = CASE WHEN action IN ('kept', 'missing_source') THEN 1 ELSE 2 END)""")
+def merged_session_turns(spark, sf_dir):
+    old, new = _rebuild(spark, sf_dir)
+    turns = lambda s, *ids: s.select("tenant_id", "session_id", F.explode(F.array(*map(F.lit, ids))).alias("turn_id"))
+    return S.merge_session_rows(turns(old, "a", "b"), turns(new, "b", "c"), S.merge_summaries(old, new)).select("session_id", "turn_id")
+
+
 @query(_MERGE + """SELECT count(*) AS indexed_sessions, count(*) FILTER (WHERE action <> 'missing_source') AS source_sessions, count(*) FILTER (WHERE action = 'missing_source') AS retained_missing_source,
 count(*) FILTER (WHERE action IN ('kept', 'appended')) AS retained_partial_source FROM m WHERE action IS NOT NULL""")
 def index_health(spark, sf_dir):
