@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one vectorised step handles; a longer single text makes a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one vectorised step handles, and rows; a longer single text makes a step of its own.
+STEP_BYTES, STEP_ROWS = 1 << 20, 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -38,10 +38,10 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `limit` bytes, one row at least."""
+    """Ranges of rows of about `limit` bytes, one row at least and `STEP_ROWS` at most."""
     low, rows = 0, len(offsets) - 1
     while low < rows:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
+        high = min(low + STEP_ROWS, max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1))
         yield low, high
         low = high
 
