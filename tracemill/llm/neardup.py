@@ -171,7 +171,8 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch.column("text"), width)], pa.binary())], ["doc_id", "shingles"])
 
-    sets = materialize(rows.join(ends, "doc_id", "left_semi").mapInArrow(run, f"doc_id {_kind(rows)}, shingles binary"), "sets")
+    # A merge join at every size: few documents have candidates, but how many grows with the corpus, so they are never broadcast.
+    sets = materialize(rows.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(run, f"doc_id {_kind(rows)}, shingles binary"), "sets")
     ways = pairs.select("a", "b", "hits", "lcp").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "hits", "lcp"))
     best = ways.groupBy("a").agg(F.max(F.struct("hits", "lcp", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     tried = materialize(best, "tried")
@@ -188,9 +189,11 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
         degree = known.where("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
         centres = degree.join(labels, "node").groupBy("root").agg(F.max(F.struct("count", "node")).alias("most")).select("root", F.col("most.node").alias("centre"))
         open_pairs = _apart(known.where("NOT linked"), labels)
-        to_b = open_pairs.join(centres, F.col("rb") == F.col("root")).select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b"))
-        to_a = open_pairs.join(centres, F.col("ra") == F.col("root")).select(F.least("b", "centre").alias("a"), F.greatest("b", "centre").alias("b"))
-        rest = materialize(to_b.union(to_a).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        # Each class and the component it may meet, once, before these meet the components' centres.
+        meets = open_pairs.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("rb").alias("root")), F.struct(F.col("b").alias("one"), F.col("ra").alias("root")))).alias("m"))
+        meets = meets.select("m.one", "m.root").distinct().join(centres, "root")
+        rest = meets.select(F.least("one", "centre").alias("a"), F.greatest("one", "centre").alias("b")).where("a <> b").distinct()
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "tried")
     discard(sets)
     return labels
 
