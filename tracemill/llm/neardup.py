@@ -1,12 +1,12 @@
 """Near-duplicates by an LSH forest: several sorted orders of MinHash signatures, whose neighbours by longest common prefix are candidates.
 
 1. Each text becomes its set of distinct word shingles; equal sets are one class from here on, so copies cost nothing further.
-2. `trees` groups of `depth` MinHash values make as many sort keys of a class. Each order is range-partitioned and sorted, ties by id, so
-   no region is ever one task's. A row meets the `reach` rows before it, as far as the first `least_depth` values agree: the depth adapts,
+2. `trees` groups of `depth` MinHash values make as many sort keys of a class. Each order is range-partitioned and sorted, ties by a hash,
+   so no region is ever one task's. A row meets the `reach` rows before it, as far as the first `least_depth` values agree: the depth adapts,
    as in a dense region the nearest rows agree in more values than in a sparse one.
 3. Candidates are confirmed on the full sets. First each class's best candidate, then those between classes that aren't connected yet.
 4. Two sets that both link to a third have a Jaccard distance of at most twice the allowed one (it is a metric). So a candidate pair that
-   failed, but is within that, may still meet in a third: each end is compared with the best-connected class of the other end's component,
+   failed, but is within that, may still meet in a third: each end is compared with the best-connected classes of the other end's component,
    until nothing new links. This finds a group's centre without comparing all of its members.
 """
 
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 from tracemill.llm.columns import ASCII_LOWER, flat, shingle_sets, steps, table_of
 from tracemill.llm.components import components
 from tracemill.llm.tables import id_and_text
+from tracemill.operators.grouping import top_rows
 from tracemill.session import discard, materialize
 
 #: Words are runs of other bytes than the blank and tab to carriage return.
 SEPARATOR = table_of(b" \t\n\v\f\r")
 TREES, DEPTH, LEAST_DEPTH, REACH = 16, 6, 3, 4
+#: Best-connected classes of a component that stand for its middle.
+CENTRES = 16
 #: Rows of a sorted run at least, so that neighbours lie in a run or the next one.
 RUN_ROWS = 1000
 
@@ -83,7 +86,9 @@ def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, rea
     orders = classes.select("doc_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     orders = orders.select("tree", F.substring(F.col("sig"), F.col("tree") * (4 * depth) + 1, F.lit(4 * depth)).alias("key"), "doc_id")
     partitions = max(1, min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), size * trees // RUN_ROWS))
-    runs = orders.repartitionByRange(partitions, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
+    # Equal keys come in another order in each tree, so that a class meets other ones of them each time.
+    order = ["tree", "key", F.xxhash64("doc_id", "tree"), "doc_id"]
+    runs = orders.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["run", "side", "place", "a", "b", "lcp", "tree", "key"]
@@ -186,8 +191,8 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
         known = known.union(found)
         if not found.where("linked").isEmpty():
             labels = components(known.where("linked"))
-        degree = known.where("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-        centres = degree.join(labels, "node").groupBy("root").agg(F.max(F.struct("count", "node")).alias("most")).select("root", F.col("most.node").alias("centre"))
+        degree = known.where("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        centres = top_rows(degree.join(labels, "node"), ["root"], [F.desc("links"), F.col("node")], CENTRES).select("root", F.col("node").alias("centre"))
         open_pairs = _apart(known.where("NOT linked"), labels)
         # Each class and the component it may meet, once, before these meet the components' centres.
         meets = open_pairs.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("rb").alias("root")), F.struct(F.col("b").alias("one"), F.col("ra").alias("root")))).alias("m"))
