@@ -12,16 +12,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracemill.llm.pretokens import library, library_ids, values_of_texts, worker_cache
+from tracemill.llm.pretokens import library, library_ids, values_of_texts, whole, worker_cache
 from tracemill.llm.tables import id_and_text
 
 
 def frequent_lengths(tokenizer_path: str) -> dict[str, int]:
-    """Tokens of each vocabulary entry that can be a whole piece, as the library encodes it."""
+    """Tokens of each vocabulary entry that can be a whole piece after a blank, as the library encodes it."""
     tokenizer = library(tokenizer_path)
     texts = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
-    whole = sorted({x for x in texts if x == "\n" or x and "�" not in x and not any(c.isspace() for c in x[1:]) and (x[0] == " " or not x[0].isspace())})
-    return {x: len(ids) // 4 for x, ids in zip(whole, library_ids(tokenizer_path, whole), strict=True)}
+    table = sorted({x[1:] for x in texts if x[:1] == " " and x[1:] and "\ufffd" not in x and not any(map(str.isspace, x[1:]))})
+    return {x: len(ids) // 4 for x, ids in zip(table, library_ids(tokenizer_path, list(map(whole, table))), strict=True)}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
