@@ -132,7 +132,8 @@ def train(docs: DataFrame, rated: DataFrame, rows_per_grade: int = 1500, id_col:
     None without rated documents. Rated documents without text are not used."""
     chosen = spread_sample(rated.select(F.col("doc_id").alias("rated_id"), F.col("grade").cast("int").alias("grade")), "rated_id", rows_per_grade, "grade")
     texts = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text")).where("text IS NOT NULL")
-    rows = texts.join(chosen, F.col("key") == F.col("rated_id")).select("grade", "text")
+    # About rows_per_grade rows of each grade, so their size has a bound and the texts need no shuffle.
+    rows = texts.join(F.broadcast(chosen), F.col("key") == F.col("rated_id")).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
