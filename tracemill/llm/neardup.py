@@ -4,7 +4,8 @@
 2. `trees` groups of `depth` MinHash values make as many sort keys of a class. Each order is range-partitioned and sorted, ties by a hash,
    so no region is ever one task's. A row meets the `reach` rows before it, as far as the first `least_depth` values agree: the depth adapts,
    as in a dense region the nearest rows agree in more values than in a sparse one.
-3. Candidates are confirmed on the full sets. First each class's best candidate, then those between classes that aren't connected yet.
+3. Candidates are confirmed on the full sets. First each class's best candidate; in the end those between classes that still aren't
+   connected.
 4. Two sets that both link to a third have a Jaccard distance of at most twice the allowed one (it is a metric). So a candidate pair that
    failed, but is within that, may still meet in a third: each end is compared with the best-connected classes of the other end's component,
    until nothing new links. This finds a group's centre without comparing all of its members.
@@ -167,6 +168,16 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where("ra <> rb")
 
 
+def _to_centres(known: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class that failed a near comparison with another component, and that component's best-connected classes."""
+    degree = known.where("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    centres = top_rows(degree.join(labels, "node"), ["root"], [F.desc("links"), F.col("node")], CENTRES).select("root", F.col("node").alias("centre"))
+    ends = F.array(F.struct(F.col("a").alias("one"), F.col("rb").alias("root")), F.struct(F.col("b").alias("one"), F.col("ra").alias("root")))
+    # Each class and the component it may meet, once, before these meet the components' centres.
+    meets = _apart(known.where("NOT linked"), labels).select(F.explode(ends).alias("m")).select("m.one", "m.root").distinct().join(centres, "root")
+    return meets.select(F.least("one", "centre").alias("a"), F.greatest("one", "centre").alias("b")).where("a <> b").distinct()
+
+
 def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int, trees: int, depth: int, least_depth: int, reach: int) -> DataFrame:
     """node and root of every class that links to another. `rows` has the texts by doc_id, `classes` (doc_id, sig) one row per distinct set."""
     pairs = candidates(classes, trees, depth, least_depth, reach, classes.count())
@@ -180,25 +191,21 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
     sets = materialize(rows.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(run, f"doc_id {_kind(rows)}, shingles binary"), "sets")
     ways = pairs.select("a", "b", "hits", "lcp").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "hits", "lcp"))
     best = ways.groupBy("a").agg(F.max(F.struct("hits", "lcp", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
-    tried = materialize(best, "tried")
-    known = compared(tried, sets, percent)
-    labels = components(known.where("linked"))
-    rest = materialize(_apart(pairs, labels).select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried")
-    discard(pairs)
-    while not rest.isEmpty():
-        tried = tried.union(rest)
-        found = compared(rest, sets, percent)
-        known = known.union(found)
-        if not found.where("linked").isEmpty():
+    todo, swept = materialize(best, "tried"), False
+    tried = known = labels = None
+    while True:
+        tried = todo if tried is None else tried.union(todo)
+        found = compared(todo, sets, percent)
+        known = found if known is None else known.union(found)
+        if labels is None or not found.where("linked").isEmpty():
             labels = components(known.where("linked"))
-        degree = known.where("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        centres = top_rows(degree.join(labels, "node"), ["root"], [F.desc("links"), F.col("node")], CENTRES).select("root", F.col("node").alias("centre"))
-        open_pairs = _apart(known.where("NOT linked"), labels)
-        # Each class and the component it may meet, once, before these meet the components' centres.
-        meets = open_pairs.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("rb").alias("root")), F.struct(F.col("b").alias("one"), F.col("ra").alias("root")))).alias("m"))
-        meets = meets.select("m.one", "m.root").distinct().join(centres, "root")
-        rest = meets.select(F.least("one", "centre").alias("a"), F.greatest("one", "centre").alias("b")).where("a <> b").distinct()
-        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "tried")
+        todo = materialize(_to_centres(known, labels).join(tried, ["a", "b"], "left_anti"), "tried")
+        if todo.isEmpty() and not swept:
+            # What is still apart after that: all other candidates.
+            todo, swept = materialize(_apart(pairs, labels).select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried"), True
+        if todo.isEmpty():
+            break
+    discard(pairs)
     discard(sets)
     return labels
 
