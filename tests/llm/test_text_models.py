@@ -67,6 +67,37 @@ def test_quality_on_labels_it_has_not_seen(spark):
     assert by_grade == sorted(by_grade)
 
 
+def test_toxic_documents_are_caught(spark):
+    r = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(r.choice(list("aeinorst"), 4)) for _ in range(n))
+    rows, insults = [], ["idiot", "scum", "moron"]
+    for k in range(900):
+        words, toxic = prose(int(r.integers(60, 200))).split(), k % 4 == 1
+        if toxic:
+            words[int(r.integers(len(words)))] = insults[k % 3]
+        rows.append((k, " ".join(words) if k % 4 else " ".join(w + "###" for w in words), int(k % 4 > 0), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    rated = quality.ratings(docs)
+    model = quality.train(docs, rated.where("doc_id < 600"))
+    got = quality.grade(docs, model, least_grade=2).join(rated, "doc_id").where("doc_id >= 600").collect()
+    share = {g: np.mean([x.kept for x in got if x.grade == g]) for g in (0, 1, 2)}
+    assert share[0] == 0 and share[1] < 0.05 and share[2] > 0.98
+    assert all(x.tail == x.tail_2 <= x.tail_1 for x in got) and np.mean([x.tail_1 >= 0.5 for x in got if x.grade == 1]) > 0.95
+    assert {x.doc_id for x in quality.keep_graded(docs, model, least_grade=2).collect() if x.doc_id >= 600} == {x.doc_id for x in got if x.kept}
+
+
+@needs_data
+def test_query_and_stage_drop_toxic_documents(spark):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = QUERIES["op8_quality_grades"](spark, SF).where("kept").select("doc_id")
+    staged = corpus_pipeline.quality_stage(spark, docs, SF).select("doc_id")
+    for left in (kept, staged):
+        toxic, clean = (left.join(labels.where(f"quality = 1 AND toxic = {t}"), "doc_id").count() for t in (1, 0))
+        assert toxic <= 0.35 * labels.where("quality = 1 AND toxic = 1").count() and clean >= 0.98 * labels.where("quality = 1 AND toxic = 0").count()
+
+
 def test_quality_odd_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, 1), (5, 0, 0), (16, 0, None), (8, 1, None), (None, 1, 0), (9, None, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")

@@ -2,6 +2,9 @@
 
 P(grade >= k) is the logistic of (weights . features - threshold k), the thresholds ascend. Features of the whole text: hashed words,
 hashed four-grams of character classes (upper, lower, digit, blank, other signs as they are), and a few shares.
+
+Toxic prose is like clean prose in all of that but a few words, so the step between these grades has a model of its own: words that toxic
+documents have more often than clean ones (marks), and a logistic over which of them a text has. P(grade >= 2) is P(grade >= 1) times that.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ from tracemill.llm.tables import spread_sample
 
 WORD_BUCKETS, SHAPE_BUCKETS, SHARES = 3072, 1016, 8
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS + SHARES
+#: Grades of `ratings` between which marks decide.
+TOXIC, CLEAN = 1, 2
+#: Hashes of words among which marks are sought; the least score of a mark, and documents it is in; marks a model has at most.
+MARK_BUCKETS, MARK_SCORE, MARK_DOCS, MARKS = 1 << 20, 4.0, 3, 1024
 _SEPARATOR = table_of(bytes(b for b in range(128) if not chr(b).isalnum()))
 #: Classes of bytes: A upper, a lower and other letters, 0 digit, blank, other signs as they are.
 _SHAPE = np.array([65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 if b <= 32 else b for b in range(256)], np.uint8)
@@ -71,13 +78,38 @@ def _rows(part: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's words, letters A-Z lowered."""
+    data, offsets = flat(texts)
+    for low, high in steps(offsets):
+        part, places = ASCII_LOWER[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
+        starts, ends, before = words(part, places, _SEPARATOR)
+        hashes = (hash_words(part, starts, ends) % np.uint64(MARK_BUCKETS)).astype(np.uint32)
+        for a, b in zip(before[:-1], before[1:], strict=True):
+            yield np.unique(hashes[a:b])
+
+
 @dataclass
 class OrdinalModel:
-    """Weights, thresholds (ascending, one fewer than grades) and the grades, ascending."""
+    """Weights, thresholds (ascending, one fewer than grades) and the grades, ascending. With both TOXIC and CLEAN among the grades also
+    marks (sorted hashes) and the model of CLEAN against TOXIC over them."""
 
     weights: np.ndarray
     thresholds: np.ndarray
     grades: np.ndarray
+    marks: np.ndarray | None = None
+    clean: OrdinalModel | None = None
+
+    def text_tails(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Rows as in `tails`, for a step of texts at a time; the tail of CLEAN is by the marks."""
+        sets = word_sets(texts) if self.clean else None
+        for x in features(texts):
+            tails = self.tails(x)
+            if sets is not None:
+                at = int(np.searchsorted(self.grades, CLEAN))
+                clean = self.clean.tails(present([next(sets) for _ in range(len(x))], self.marks))[:, 0]
+                tails[:, at - 1] = clean * (tails[:, at - 2] if at > 1 else 1)
+            yield tails
 
     def tails(self, x: np.ndarray) -> np.ndarray:
         """P(grade >= grades[k]) for k from 1 on, one column each."""
@@ -120,6 +152,22 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 250,
     return OrdinalModel(w, theta.astype(np.float32), grades)
 
 
+def present(sets: list[np.ndarray], marks: np.ndarray) -> np.ndarray:
+    """1 for each text (row) that has a mark (column)."""
+    return np.stack([np.isin(marks, s, assume_unique=True) for s in sets]).astype(np.float32)
+
+
+def find_marks(toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
+    """Hashes of words that more toxic than clean documents have, by the score of two shares, sorted."""
+    n, m = len(toxic), len(clean)
+    of_toxic, of_clean = (np.bincount(np.concatenate(s), minlength=MARK_BUCKETS) for s in (toxic, clean))
+    part = (of_toxic + of_clean) / (n + m)
+    score = (of_toxic / n - of_clean / m) / np.sqrt(np.maximum(part * (1 - part), 1e-9) * (1 / n + 1 / m))
+    score[of_toxic < MARK_DOCS] = 0
+    best = np.argsort(-score, kind="stable")[:MARKS]
+    return np.sort(best[score[best] >= MARK_SCORE]).astype(np.uint32)
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """doc_id and grade from (doc_id, quality, toxic): 0 for bad quality, 1 for good but toxic, 2 for good. Several labels of a document
     count with the lowest; labels without id or quality are not used, a null toxic counts as 0."""
@@ -137,27 +185,36 @@ def train(docs: DataFrame, rated: DataFrame, rows_per_grade: int = 1500, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
+            at, sets = 0, word_sets(batch.column("text"))
             for x in features(batch.column("text")):
+                own = [next(sets).tobytes() for _ in range(len(x))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("grade").slice(at, len(x)), pa.array([np.flatnonzero(r).astype(np.uint16).tobytes() for r in x], pa.binary()), pa.array([r[r != 0].astype(np.float16).tobytes() for r in x], pa.binary())],
-                    ["grade", "places", "values"],
+                    [batch.column("grade").slice(at, len(x)), pa.array([np.flatnonzero(r).astype(np.uint16).tobytes() for r in x], pa.binary()), pa.array([r[r != 0].astype(np.float16).tobytes() for r in x], pa.binary()), pa.array(own, pa.binary())],
+                    ["grade", "places", "values", "words"],
                 )
                 at += len(x)
 
-    found = rows.mapInArrow(run, "grade int, places binary, values binary").toPandas().sort_values(["grade", "places", "values"], kind="stable")
+    found = rows.mapInArrow(run, "grade int, places binary, values binary, words binary").toPandas().sort_values(["grade", "places", "values", "words"], kind="stable")
     if not len(found):
         return None
     x = np.zeros((len(found), BUCKETS), np.float32)
     for row, (places, values) in enumerate(zip(found["places"], found["values"], strict=True)):
         x[row, np.frombuffer(places, np.uint16)] = np.frombuffer(values, np.float16)
-    return fit(x, found["grade"].to_numpy())
+    y = found["grade"].to_numpy()
+    model = fit(x, y)
+    if (y == TOXIC).any() and (y == CLEAN).any():
+        some = np.flatnonzero((y == TOXIC) | (y == CLEAN))
+        sets = [np.frombuffer(found["words"].iloc[k], np.uint32) for k in some]
+        model.marks = find_marks([s for s, g in zip(sets, y[some], strict=True) if g == TOXIC], [s for s, g in zip(sets, y[some], strict=True) if g == CLEAN])
+        model.clean = fit(present(sets, model.marks), y[some])
+    return model
 
 
 def grade(docs: DataFrame, model: OrdinalModel | None, least_grade: int = 1, least_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, expected_grade, tail (probability of `least_grade` or more) and kept (tail at least `least_tail`).
+    """Per row: doc_id, expected_grade, tail (probability of `least_grade` or more), kept (tail at least `least_tail`), and tail_1 and
+    tail_2, the probabilities of grade 1 or more and of grade 2 or more.
 
-    A null text counts as empty. Without a model nothing is known: null grade and tail, and the row is kept. Repeated rows and null ids
+    A null text counts as empty. Without a model nothing is known: null grade and tails, and the row is kept. Repeated rows and null ids
     are kept as they are; an empty table gives none; other columns are not read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -165,23 +222,27 @@ def grade(docs: DataFrame, model: OrdinalModel | None, least_grade: int = 1, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            expected, tail = _scores(shipped.value, batch.column("text"), least_grade)
+            expected, tail, one, two = _scores(shipped.value, batch.column("text"), (least_grade, TOXIC, CLEAN))
             kept = [t is None or t >= least_tail for t in tail]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(kept, pa.bool_())], ["doc_id", "expected_grade", "tail", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(kept, pa.bool_()), pa.array(one, pa.float64()), pa.array(two, pa.float64())], ["doc_id", "expected_grade", "tail", "kept", "tail_1", "tail_2"]
+            )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, expected_grade double, tail double, kept boolean")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, expected_grade double, tail double, kept boolean, tail_1 double, tail_2 double")
 
 
-def _scores(model: OrdinalModel | None, texts: pa.Array, least_grade: int) -> tuple[list, list]:
+def _scores(model: OrdinalModel | None, texts: pa.Array, least_grades: tuple[int, ...]) -> list[list]:
+    """The expected grade of each text, and for each of `least_grades` the probability of that grade or more."""
+    out: list[list] = [[] for _ in range(1 + len(least_grades))]
     if model is None:
-        return [None] * len(texts), [None] * len(texts)
-    expected, tail = [], []
-    for x in features(texts):
-        tails = model.tails(x)
-        expected += (model.grades[0] + tails @ np.diff(model.grades)).tolist()
-        at = int(np.searchsorted(model.grades, least_grade))
-        tail += ([1.0] * len(x) if at == 0 else [0.0] * len(x) if at > len(model.thresholds) else tails[:, at - 1].astype(np.float64).tolist())
-    return expected, tail
+        return [[None] * len(texts) for _ in out]
+    for tails in model.text_tails(texts):
+        n = len(tails)
+        out[0] += (model.grades[0] + tails @ np.diff(model.grades)).tolist()
+        for k, least in enumerate(least_grades, 1):
+            at = int(np.searchsorted(model.grades, least))
+            out[k] += [1.0] * n if at == 0 else [0.0] * n if at > len(model.thresholds) else tails[:, at - 1].astype(np.float64).tolist()
+    return out
 
 
 def keep_graded(docs: DataFrame, model: OrdinalModel | None, least_grade: int = 1, least_tail: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -193,7 +254,7 @@ def keep_graded(docs: DataFrame, model: OrdinalModel | None, least_grade: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, tail = _scores(shipped.value, batch.column(place), least_grade)
+            _, tail = _scores(shipped.value, batch.column(place), (least_grade,))
             yield batch.filter(pa.array([t is None or t >= least_tail for t in tail], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

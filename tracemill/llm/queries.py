@@ -68,7 +68,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.ratings(table(spark, sf_dir, "labels")))
-    return quality.grade(docs, model)
+    return quality.grade(docs, model, least_grade=quality.CLEAN)
 
 
 @_query
