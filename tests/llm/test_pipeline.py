@@ -61,6 +61,28 @@ def test_run_on_planted_rows(spark, tmp_path):
     assert len({r.sequence_id for r in got}) == 1
 
 
+def test_row_numbers_stay_when_splits_change(spark, tmp_path, monkeypatch):
+    for part in range(4):
+        rows = [(10 * part + k, " ".join(f"w{k}-{j}" for j in range(20))) for k in range(10)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    real, setting = corpus_pipeline.neardup.near_duplicates, "spark.sql.files.maxPartitionBytes"
+
+    def and_then_other_splits(*args, **options):
+        found = spark.createDataFrame(real(*args, **options).collect(), "doc_id long, n_shingles long, component_id long, kept boolean")
+        spark.conf.set(setting, "1")
+        return found
+
+    monkeypatch.setattr(corpus_pipeline.neardup, "near_duplicates", and_then_other_splits)
+    before = spark.conf.get(setting)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        left = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path)).collect()
+    finally:
+        spark.conf.set(setting, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(left) == len({r.text for r in left}) == 10
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
