@@ -87,6 +87,29 @@ def test_star_of_copies_that_do_not_link_among_themselves(spark):
     assert {r.doc_id: r.component_id for r in rows} == {k: v[1] for k, v in brute(docs, 3, 85).items()}
 
 
+@pytest.mark.parametrize("edits", [False, True])
+def test_pairs_in_a_crowd_below_the_threshold(spark, monkeypatch, edits):
+    """Texts of one template, each with an end of its own or edits of its own, and pairs that share part of that."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 300_000)
+    r, template, docs = random.Random(9), [f"t{k}" for k in range(270)], []
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+    def changed(words, places):
+        return [f"w{r.randrange(10**9)}" if k in places else w for k, w in enumerate(words)]
+
+    for k in range(700):
+        one = changed(template, {*r.sample(range(270), 9)}) if edits else template + fresh(29)
+        docs.append(one)
+        if k < 60:
+            docs.append(changed(one, {*r.sample(range(270), 5)}) if edits else one[:-20] + fresh(20))
+    r.shuffle(docs)
+    docs = [(k, " ".join(t)) for k, t in enumerate(docs)]
+    want = brute(docs, 3, 85)
+    assert 600 < len({v[1] for v in want.values()}) <= 700
+    rows = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in rows} == want
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     rows = neardup.near_duplicates(docs, 3, 85).collect()

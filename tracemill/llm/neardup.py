@@ -9,6 +9,9 @@
 4. Two sets that both link to a third have a Jaccard distance of at most twice the allowed one (it is a metric). So a candidate pair that
    failed, but is within that, may still meet in a third: each end is compared with the best-connected classes of the other end's component,
    until nothing new links. This finds a group's centre without comparing all of its members.
+5. A row whose reach was cut (the next one still agrees in `least_depth` values) may have missed a partner in its run of such rows. Where
+   a run still has classes of several components, those outside its largest one are compared exactly with all of its crowd (runs that
+   share classes), block by block.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,8 @@ TREES, DEPTH, LEAST_DEPTH, REACH = 16, 6, 3, 4
 CENTRES = 16
 #: Rows of a sorted run at least, so that neighbours lie in a run or the next one.
 RUN_ROWS = 1000
+#: Bytes of sets in a block of a crowd (about, as they are dealt by a hash), and entries of the table a block is compared by.
+BLOCK_BYTES, TABLE_ENTRIES = 8 << 20, 1 << 24
 
 
 @lru_cache(2)
@@ -80,9 +86,10 @@ def _kind(rows: DataFrame) -> str:
     return rows.schema["doc_id"].dataType.simpleString()
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, reach: int, size: int) -> DataFrame:
+def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, reach: int, size: int) -> tuple[DataFrame, DataFrame]:
     """a, b, hits (orders in which they are neighbours) and lcp (longest common prefix in any) of candidate pairs of (doc_id, sig);
-    `size` is the number of classes."""
+    `size` is the number of classes. And tree, key (the first `least_depth` values) and node of the rows whose reach was cut, or may have
+    been, at the borders of tasks."""
     kind = classes.schema["doc_id"].dataType.simpleString()
     orders = classes.select("doc_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     orders = orders.select("tree", F.substring(F.col("sig"), F.col("tree") * (4 * depth) + 1, F.lit(4 * depth)).alias("key"), "doc_id")
@@ -102,19 +109,28 @@ def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, rea
             old = len(rows) - len(fresh)
             keys = np.frombuffer(b"".join(rows["key"].to_pylist()), ">u4").reshape(len(rows), depth)
             tree, ids = rows["tree"].to_numpy(), rows["doc_id"].combine_chunks()
-            for back in range(1, reach + 1):
+            cut = np.zeros(len(rows), bool)
+            for back in range(1, reach + 2):
                 at = np.arange(max(old, back), len(rows))
                 same = np.cumprod(keys[at] == keys[at - back], axis=1).sum(axis=1)
                 ok = (same >= least_depth) & (tree[at] == tree[at - back])
-                if ok.any():
+                if back > reach:
+                    cut[at[ok]] = cut[at[ok] - back] = True
+                elif ok.any():
                     n = int(ok.sum())
                     nothing = pa.nulls(n, pa.int32())
                     yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, ids.take(pa.array(at[ok] - back)), ids.take(pa.array(at[ok])), pa.array(same[ok].astype(np.int32)), nothing, pa.nulls(n, pa.binary())], names)
+            if seen <= reach:
+                cut[old : old + reach + 1 - seen] = True
+            if cut.any():
+                yield _border(rows.filter(pa.array(cut)), number, 2, range(int(cut.sum())), names)
             if seen < reach:
                 yield _border(fresh.slice(0, reach - seen), number, 0, range(seen, seen + min(len(fresh), reach - seen)), names)
             seen += len(fresh)
-            held = rows.slice(max(0, len(rows) - reach))
+            held = rows.slice(max(0, len(rows) - reach - 1))
         if held is not None:
+            yield _border(held, number, 2, range(len(held)), names)
+            held = held.slice(max(0, len(held) - reach))
             yield _border(held, number, 1, range(len(held) - 1, -1, -1), names)
 
     met = materialize(runs.mapInArrow(meet, f"run int, side int, place int, a {kind}, b {kind}, lcp int, tree int, key binary"), "met")
@@ -125,8 +141,9 @@ def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, rea
     pairs = met.where("side IS NULL").select("a", "b", "lcp").union(across)
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("hits"), F.max("lcp").alias("lcp"))
     out = materialize(pairs, "candidates")
+    cut = materialize(met.where("side = 2").select("tree", F.substring("key", 1, 4 * least_depth).alias("key"), F.col("a").alias("node")).distinct(), "cut")
     discard(met)
-    return out
+    return out, cut
 
 
 def _border(rows: pa.Table, number: int, side: int, places: range, names: list[str]) -> pa.RecordBatch:
@@ -178,9 +195,83 @@ def _to_centres(known: DataFrame, labels: DataFrame) -> DataFrame:
     return meets.select(F.least("one", "centre").alias("a"), F.greatest("one", "centre").alias("b")).where("a <> b").distinct()
 
 
+def _crowds(cut: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, root, crowd and asks of the classes in runs of cut rows that have several components. Runs that share classes are one crowd;
+    asks is whether the class is outside the largest component of such a run. Stored."""
+    known = cut.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = known.groupBy("tree", "key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("tree", "key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1").select("tree", "key", F.col("most.root").alias("most"))
+    rows = materialize(known.join(mixed, ["tree", "key"]), "mixed")
+    nodes = rows.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("most")).alias("asks"))
+    firsts = rows.groupBy("tree", "key").agg(F.min("node").alias("a"))
+    crowd = components(rows.join(firsts, ["tree", "key"]).select("a", F.col("node").alias("b"))).select("node", F.col("root").alias("crowd"))
+    out = materialize(nodes.join(crowd, "node"), "crowds")
+    discard(rows)
+    return out
+
+
+def _tables(sets: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of sets, their distinct hashes (sorted) and which set (column) has which hash (row), of `TABLE_ENTRIES` or of one set."""
+    low = 0
+    while low < len(sets):
+        high = min(low + 256, len(sets))
+        while True:
+            words = np.unique(np.concatenate(sets[low:high]))
+            if high == low + 1 or len(words) * (high - low) <= TABLE_ENTRIES:
+                break
+            high = low + (high - low) // 2
+        has = np.zeros((len(words), high - low), np.float32)
+        for k in range(low, high):
+            has[np.searchsorted(words, sets[k]), k - low] = 1
+        yield low, high, words, has
+        low = high
+
+
+def _links(asking: pa.Table, asked: pa.Table, percent: int) -> tuple[list, list]:
+    """Links between (node, root, shingles) rows of different components; of each asking row one to a component at least."""
+    x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t["shingles"].combine_chunks()] for t in (asking, asked))
+    roots = pa.chunked_array([*asking["root"].chunks, *asked["root"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+    x_root, y_root = roots[: len(x)], roots[len(x) :]
+    a, b, done = [], [], set()
+    for low, high, words, has in _tables(x):
+        sizes = np.array([len(s) for s in x[low:high]])
+        for k, s in enumerate(y):
+            at = np.minimum(np.searchsorted(words, s), len(words) - 1)
+            common = has[at[words[at] == s]].sum(axis=0).astype(np.int64)
+            for i in np.flatnonzero((100 * common >= percent * (sizes + len(s) - common)) & (x_root[low:high] != y_root[k])).tolist():
+                if (low + i, y_root[k]) not in done:
+                    done.add((low + i, y_root[k]))
+                    a.append(low + i)
+                    b.append(k)
+    return a, b
+
+
+def crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b and linked (true) of links between components inside each crowd, found by comparing each asking class with all others. Stored.
+
+    Both sides are dealt into blocks of a bounded size; a task compares two of them.
+    """
+    kind = crowds.schema["node"].dataType.simpleString()
+    rows = crowds.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
+    bytes_of = F.length("shingles")
+    counts = rows.groupBy("crowd").agg(blocks(F.sum(F.when(F.col("asks"), bytes_of).otherwise(0))).alias("ask_blocks"), blocks(F.sum(bytes_of)).alias("all_blocks"))
+    rows = rows.join(counts, "crowd").withColumn("dealt", F.xxhash64("node"))
+    own, every = F.pmod("dealt", "ask_blocks").cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = rows.where("asks").select("crowd", own.alias("i"), every("all_blocks").alias("j"), F.lit(True).alias("asking"), "node", "root", "shingles")
+    asked = rows.select("crowd", every("ask_blocks").alias("i"), F.pmod("dealt", "all_blocks").cast("int").alias("j"), F.lit(False).alias("asking"), "node", "root", "shingles")
+
+    def meet(block: pa.Table) -> pa.Table:
+        left, right = block.filter(block["asking"]), block.filter(pc.invert(block["asking"]))
+        a, b = _links(left, right, percent) if len(left) and len(right) else ([], [])
+        return pa.table({"a": left["node"].take(pa.array(a, pa.int64())), "b": right["node"].take(pa.array(b, pa.int64())), "linked": pa.array([True] * len(a), pa.bool_())})
+
+    return materialize(asking.union(asked).groupBy("crowd", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}, linked boolean"), "crowd-links")
+
+
 def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int, trees: int, depth: int, least_depth: int, reach: int) -> DataFrame:
     """node and root of every class that links to another. `rows` has the texts by doc_id, `classes` (doc_id, sig) one row per distinct set."""
-    pairs = candidates(classes, trees, depth, least_depth, reach, classes.count())
+    pairs, cut = candidates(classes, trees, depth, least_depth, reach, classes.count())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +296,14 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
             todo, swept = materialize(_apart(pairs, labels).select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried"), True
         if todo.isEmpty():
             break
+    # Exact, so once is enough: what is still apart now and was cut meets here.
+    crowds = _crowds(cut, labels)
+    if not crowds.isEmpty():
+        found = crowd_links(crowds, sets, percent)
+        if not found.isEmpty():
+            labels = components(known.where("linked").union(found))
+    discard(crowds)
+    discard(cut)
     discard(pairs)
     discard(sets)
     return labels
