@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, langid, licenses, media, neardup, packing, quality, sketches, token_counts, warc
+from tracemill.llm import alignment, bpe, langid, licenses, media, neardup, packing, prefix_trie, quality, sketches, token_counts, tournament, warc
 from tracemill.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tournament.pack_first_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
+
+
+@_query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
