@@ -68,6 +68,30 @@ def rollout_messages(spark, sf_dir):
     return t.messages.select("session_id", F.regexp_extract("message_id", "-(.*)$", 1).cast("long").alias("turn"), "role", F.md5("text").alias("digest"))
 
 
+@query("""SELECT conv_id, turn, md5(CASE turn % 4 WHEN 1 THEN concat(text, chr(10), CAST(turn AS VARCHAR)) WHEN 2 THEN concat(text, chr(10), role, chr(10), 'True') ELSE text END) AS digest FROM conversations""")
+def nested_payload_texts(spark, sf_dir):
+    """Payloads whose deciding field lies three levels deep or more, behind fields without a text."""
+    c = given(spark, sf_dir, "conversations")
+    text = F.col("text")
+    deep = F.struct(F.struct(F.array(F.struct(F.struct(text.alias("value")).alias("message"))).alias("summary")).alias("content"))
+    mixed = F.concat(F.lit('{"content":[{"output":{"result":['), F.to_json(F.array("text")), F.lit(","), F.col("turn").cast("string"), F.lit("]}}]}"))
+    later = F.concat(F.lit('{"content":{"x":1},"output":['), F.to_json(F.array("text", "role")), F.lit(",true]}"))
+    last = F.struct(F.lit("").alias("content"), F.struct(F.lit("").alias("text"), F.struct(text.alias("output")).alias("summary")).alias("item"))
+    payload = F.when(F.col("turn") % 4 == 0, F.to_json(deep)).when(F.col("turn") % 4 == 1, mixed)
+    payload = payload.when(F.col("turn") % 4 == 2, later).otherwise(F.to_json(last))
+    return c.select("conv_id", "turn", F.md5(T.visible_text(payload)).alias("digest"))
+
+
+@query("SELECT conv_id, turn, md5(CASE turn % 3 WHEN 2 THEN concat('no envelope ', text) ELSE text END) AS digest FROM conversations")
+def opened_envelopes(spark, sf_dir):
+    """Tool outputs in one or two JSON envelopes, some behind a short note."""
+    c = given(spark, sf_dir, "conversations")
+    inner = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("result")))
+    outer = F.concat(F.lit("note: "), F.to_json(F.struct(inner.alias("output"))), F.lit(" done"))
+    text = F.when(F.col("turn") % 3 == 0, inner).when(F.col("turn") % 3 == 1, outer).otherwise(F.concat(F.lit("no envelope "), "text"))
+    return c.select("conv_id", "turn", F.md5(T.open_envelopes(text)).alias("digest"))
+
+
 @query(_ROLL + """SELECT sid AS session_id, turn, NOT regexp_matches(lower(text), 'not allowed|unavailable|permission denied|traceback|command failed') AND turn % 4 = 1 AS verified FROM c WHERE tool""")
 def rollout_evidence(spark, sf_dir):
     t = L.session_tables(L.parse_rollouts(rollout_lines(spark, sf_dir)))

@@ -24,6 +24,26 @@ META_PREFIXES = (
 )
 INJECTED_PREFIXES = ("[System:", "[OUT-OF-BAND", "@image")
 
+# --- fixed values: text of nested payloads, first key first ----------------------------------------------------------
+VISIBLE_KEYS = ("text", "output", "result", "message", "value", "content", "summary")
+PAYLOAD_KEYS = ("content", "output", "result", "arguments", "input", "item")
+# An envelope starts in the first characters of a text that is not long; so many are opened inside each other.
+ENVELOPE_START, ENVELOPE_LENGTH, ENVELOPES = 240, 20000, 3
+
+# --- fixed values: attachments of a message --------------------------------------------------------------------------
+ATTACHED = (
+    r"(?is)# Response annotations:.*?(?=## My request:|\z)",
+    r"(?is)# Files mentioned by the user:.*?(?=## My request:|\z)",
+    r"!\[[^\]]*\]\([^)]*\)",
+    r"(?i)<[^>]{0,120}(?:cwd|current_date|timezone|workspace|permission)[^>]*>",
+    r"(?iU)/var/folders/[^\s)]+codex-clipboard-[^\s)]+",
+    r"(?iU)\bcodex-clipboard-[\w.-]+",
+)
+REQUEST_LABEL = "## My request:"
+UNCLOSED_TAGS = ("environment_context", "app-context")
+SKIPPED_NAMES = (".DS_Store", "COMMIT_EDITMSG", "FETCH_HEAD", "HEAD")
+SKIPPED_PATHS = (r"[/\\]\z", r"(^|/)\.git(/|\z)", r"[${}]|GATE_|VAULT/", r"^(a/|b/|tmp/|/tmp\}/)", "…|codex-clipboard", "^http")
+
 # --- fixed values: session summaries --------------------------------------------------------------------------------
 CORRECTION_MARKERS = (
     "不是", "不对", "没解决", "没有解决", "还是不行", "还是不好", "没用", "卵用", "别假装", "不能算", "不够", "你说得对",
