@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import keys as K
 from tracemill.operators import experience as X
+from tracemill.operators import recall as C
 from tracemill.operators import retrieval as R
 from tracemill.operators import sessions as S
 from tracemill.plans.adapters import ctes, given, shape
@@ -42,18 +43,48 @@ z AS (SELECT tenant_id, query_id, session_id, date, updated, CAST(words + fields
 SELECT * EXCLUDE (date, updated), row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY score DESC, date DESC, updated DESC, session_id DESC) AS position FROM z QUALIFY position <= 5"""
 
 
+_CLEAN = "trim(regexp_replace(raw, '\\s+', ' ', 'g'), ' -')"
+
+
 @query(_RECALL)
 def recall_by_words(spark, sf_dir):
-    return R.recall(_summaries(spark, sf_dir), _questions(spark, sf_dir), as_of=as_of())
+    return C.recall(_summaries(spark, sf_dir), _questions(spark, sf_dir), as_of=as_of())
 
 
-@query()
-def recall_texts(spark, sf_dir):
-    s = _summaries(spark, sf_dir)
-    return R.recall_blocks(R.recall(s, _questions(spark, sf_dir), as_of=as_of()), s)
+def _clip(text: str, n: int) -> str:
+    return f"CASE WHEN length({text}) <= {n} THEN {text} ELSE concat(rtrim(substring({text}, 1, {n - 1})), '…') END"
 
 
-_CLEAN = "trim(regexp_replace(raw, '\\s+', ' ', 'g'), ' -')"
+def _shown(raw: str, n: int) -> str:
+    return _clip(f"({_CLEAN.replace('raw', raw)})", n)
+
+
+def _line(raw: str, label: str, n: int, only: str = "true") -> str:
+    return f"CASE WHEN {raw} <> '' AND {only} THEN [concat('{label}', {_clip('(' + _shown(raw, 200) + ')', n)})] ELSE [] END"
+
+
+# at most five hits a question: the lines that fit are a prefix, and what is left goes from hit to hit
+_TEXTS = f"""WITH RECURSIVE hits AS ({_RECALL}), {ctes('summaries').removeprefix('WITH ')},
+b AS (SELECT h.tenant_id, h.query_id, h.position, concat('  卡片：sessions/', CAST(s.date AS VARCHAR), '/', CAST(s.session_id AS VARCHAR), '/memory.md') AS card,
+  list_concat([concat('- [', status, '] ', {_shown('s.title', 90)}, ' · ', {_shown('s.project', 70)}, ' · ', CAST(s.date AS VARCHAR), ' · score=', CAST(score AS VARCHAR))],
+    {_line('correction_text', '  用户纠正候选：', 180)}, {_line('decision_text', '  决策摘录（需核对来源）：', 160)}, {_line('verified_text', '  工具证据信号（非任务验收）：', 200)},
+    {_line('claim_text', '  未验证助手声明（仅供定位）：', 140, "verified_text = ''")}, {_line('open_text', '  待办：', 140)}) AS lines
+  FROM hits h JOIN summaries s USING (tenant_id, session_id)),
+l AS (SELECT *, list_transform(range(1, len(lines) + 1), lambda i: list_sum(list_transform(lines[1:i], lambda x: length(x) + 1))) AS used FROM b),
+f AS (
+  SELECT tenant_id, query_id, 0::BIGINT AS position, 4800::BIGINT AS room, ''::VARCHAR AS text FROM (SELECT DISTINCT tenant_id, query_id FROM l)
+  UNION ALL
+  SELECT tenant_id, query_id, position, room - length(block) - 1, concat(text, CASE WHEN text = '' THEN '' ELSE chr(10) END, block) FROM (
+    SELECT f.tenant_id, f.query_id, l.position, f.room, f.text, array_to_string(list_append(lines[1:n], card), chr(10)) AS block
+    FROM (SELECT * FROM f) f JOIN (SELECT * FROM l) l ON l.tenant_id = f.tenant_id AND l.query_id = f.query_id AND l.position = f.position + 1,
+    LATERAL (SELECT len(list_filter(used, lambda u: u <= least(1000, f.room) - length(card) - 1)) AS n) WHERE n > 0))
+SELECT tenant_id, query_id, arg_max(text, position) AS text FROM f GROUP BY ALL"""
+
+
+@query(_TEXTS)
+def recall_texts(spark, sf_dir):
+    s = _summaries(spark, sf_dir)
+    return R.recall_blocks(C.recall(s, _questions(spark, sf_dir), as_of=as_of()), s)
 
 
 @query(ctes("summaries") + f""", i AS (SELECT session_id, unnest([1,2,3,4,5,6]) AS pos, unnest(['correction','decision','verified','goal','open_item','claim_unverified']) AS unit_kind,
