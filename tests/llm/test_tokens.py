@@ -138,3 +138,25 @@ def test_lower_bound_never_exceeds_the_best_packing():
         assert bound <= least <= len(fills) and fills.max() <= capacity and len(bins) == len(sizes)
         tight += bound == least
     assert tight > 120
+
+
+def test_groups_stay_small_where_gaps_are_large(spark, monkeypatch):
+    """Two of these sizes never fill a sequence well, so every group keeps a gap and frees most of its rows."""
+    seen, real = [], packing.materialize
+
+    def counted(df, name, **options):
+        out = real(df, name, **options)
+        seen.extend(r["count"] for r in out.groupBy("grp").count().collect())
+        return out
+
+    monkeypatch.setattr(packing, "materialize", counted)
+    rows = spark.range(20_000).selectExpr("id AS uid", "520 + id * 7919 % 480 AS length")
+    got = packing.pack(rows, 2048, group_rows=256).collect()
+    assert len({r.uid for r in got}) == len(got) == 20_000 and max(seen) < 2 * 256
+    lengths = {r.uid: r.length for r in rows.collect()}
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, lengths[r.uid]))
+    for parts in bins.values():
+        assert sum(n for _, n in parts) <= 2048 and [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+    assert all(r.gap >= 0 for r in got)

@@ -3,8 +3,9 @@
 Documents become token sequences; only what is longer than a sequence is cut. Whole pieces of the sequence's length are sequences by
 themselves, the rest is packed: pieces are dealt into groups of a fixed number of rows, each group runs best-fit decreasing, and
 dual-feasible functions give a lower bound of the sequences it needs. A group that meets its bound is certified and gives up only its
-emptiest sequence; a group with a gap gives up its emptiest ones. What was given up meets in fewer groups and is packed again, until one
-group is left. Every step keeps narrow rows (no text), and a group never has more rows than the parameters say.
+emptiest sequence; a group with a gap gives up its emptiest ones. What was given up meets in as many groups as it fills and is packed again, until one
+group is left or a round frees about as many rows as it took. Every step keeps narrow rows (no text), and a group has about
+`group_rows` rows in every round, whatever the table.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.pretokens import library_ids, values_of_texts, worker_cache
+from tracemill.llm.piece_arrays import blank_cuts, encoded_rows, library_table
 from tracemill.llm.tables import id_and_text
 from tracemill.session import materialize
 
-#: Pieces in a group at most (about, as they are dealt by a hash), and groups that meet in one of the next round.
-GROUP_ROWS, FAN_IN = 4096, 32
+#: Pieces in a group, about: they are dealt by a hash.
+GROUP_ROWS = 4096
+#: A round that leaves more than this part of its rows to the next one is the last but one.
+WORTH = 0.75
+#: A group's sequences are numbered below this; it has no more of them than rows.
+_SEQUENCES = 1 << 24
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,12 +42,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(("ids", tokenizer_path), lambda parts: library_ids(tokenizer_path, parts))
-        end = end_id.to_bytes(4, "little")
+        table, end = library_table(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            for k, (_, parts) in enumerate(values_of_texts(cache, (x.as_py() for x in batch.column("text")))):
-                ids = b"".join([*parts, end])
+            for k, own in enumerate(encoded_rows(batch.column("text"), table, blank_cuts)):
+                ids = bytes(own) + end
                 n = len(ids) // 4
                 at, step = 0, n - (math.ceil(n / length) - 1) * length
                 while at < n:
@@ -127,39 +132,34 @@ def _pack_group(capacity: int, last: bool):
 
 
 def pack(rows: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """uid, sequence_id and offset of each row of (uid, length), uid distinct and length 1 to `capacity`.
+    """uid, sequence_id, offset and gap of each row of (uid, length), uid distinct and length 1 to `capacity`. gap is the certificate of the group that
+    placed the row: its sequences beyond the lower bound, 0 if it is known to need as many.
 
     An empty table gives none. Rows of the full length are sequences by themselves.
     """
-    spark = rows.sparkSession
-    full = rows.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    parts = rows.where(F.col("length") < capacity).select("uid", "length")
-    groups = max(1, math.ceil(parts.count() / group_rows))
-    done, left, level = [full], parts, 0
+    full = rows.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
+    left, level, done = rows.where(F.col("length") < capacity).select("uid", "length"), 0, [full]
+    rows_left = met = left.count()
     while True:
-        last = groups == 1
+        groups = max(1, math.ceil(rows_left / group_rows))
+        # Freed rows meet anew, in groups of the same size, as long as fewer are freed each time.
+        last = groups == 1 or bool(level) and rows_left > WORTH * met
+        met = rows_left
         dealt = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
         packed = dealt.groupBy("grp").applyInPandas(_pack_group(capacity, last), "uid long, length long, grp long, bin long, offset long, free boolean, gap long")
         packed = materialize(packed, f"packed-{level}")
-        number = F.lit(level << 52) + F.col("grp") * (1 << 20) + F.col("bin")
-        done.append(packed.where(~F.col("free")).select("uid", number.alias("sequence_id"), "offset"))
-        if last:
-            break
-        left, level, groups = packed.where("free").select("uid", "length"), level + 1, math.ceil(groups / FAN_IN)
-        freed = left.count()
-        if not freed:
-            break
-        groups = min(groups, max(1, math.ceil(freed / group_rows)))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        number = F.lit(level << 56) + F.col("grp") * _SEQUENCES + F.col("bin")
+        done.append(packed.where(~F.col("free")).select("uid", number.alias("sequence_id"), "offset", "gap"))
+        left, level = packed.where("free").select("uid", "length"), level + 1
+        rows_left = 0 if last else left.count()
+        if not rows_left:
+            return reduce(DataFrame.unionByName, done)
 
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset. Cases as in token_pieces; an empty table gives none."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and gap (see pack). Cases as in token_pieces; an empty table gives none."""
     cut = token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
     cut = materialize(cut, "pieces")
     return cut.join(pack(cut.select("uid", "length"), capacity, group_rows), "uid").drop("uid")

@@ -6,18 +6,20 @@ is encoded once a worker, and the results are put together by Arrow's `take`. Py
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from tracemill.llm.columns import flat, table_of
+from tracemill.llm.columns import ASCII_LOWER, flat, table_of
 
 #: Bytes of text that one step handles; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 8 << 20
 #: Pieces a worker keeps at most, and the longest piece it keeps, in bytes.
-KEPT_PIECES, LONG_PIECE = 1_200_000, 96
+KEPT_PIECES, LONG_PIECE = 1_200_000, 64
 
 WHITE = table_of(b"\t\n\v\f\r ")
 _WHITE_OR_CONTROL = table_of(b"\t\n\v\f\r \x1c\x1d\x1e\x1f")
@@ -48,7 +50,7 @@ def blank_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def word_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where a word begins after ASCII white space, for tokenizers that drop white space: a piece is a word and the white space after it."""
+    """Places where a word begins after ASCII white space, or a mark after a letter, for tokenizers that drop white space."""
     white = WHITE[data]
     return np.concatenate([np.flatnonzero(white[:-1] & ~white[1:]) + 1, mark_cuts(data)])
 
@@ -79,28 +81,38 @@ class PieceTable:
 _tables: dict[tuple, PieceTable] = {}
 
 
-def worker_table(key: tuple, make: Callable[[], Callable[[list[bytes]], list]]) -> PieceTable:
+def worker_table(key: tuple, make: Callable[[], Callable[[list[bytes]], list]], most: int = KEPT_PIECES) -> PieceTable:
     """The table of this worker for one use of one tokenizer; it outlives a task. `make` gives the encoder."""
     if key not in _tables:
-        _tables[key] = PieceTable(make())
+        _tables[key] = PieceTable(make(), most)
     return _tables[key]
 
 
-def numbered_pieces(column: pa.Array, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[pa.Array, list[bytes], np.ndarray]:
+def numbered_pieces(column: pa.Array, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], words_only: bool = False) -> tuple[pa.Array, list[bytes], np.ndarray]:
     """The number of each piece, the distinct pieces, and for each row the number of pieces before it (one more entry than rows).
 
-    Null counts as empty; an empty text has no pieces.
+    Null counts as empty; an empty text has no pieces. `words_only` is for tokenizers that drop white space and lower letters: ASCII white space
+    is left out, and A-Z are lowered, but where a special token might begin, as those are told by case.
     """
     data, offsets = flat(column)
+    if words_only and not ((data[:-1] == 60) & (data[1:] == 124)).any():
+        data = ASCII_LOWER[data]
     begins = np.zeros(len(data) + 1, bool)
     if len(data):
         begins[cuts(data, offsets)] = True
+    if words_only:
+        solid = ~WHITE[data]
+        rank = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(solid, out=rank[1:])
+        data, offsets, begins = data[solid], rank[offsets], np.append(begins[:-1][solid], False)
     begins[offsets] = True
     begins[len(data)] = True
     starts = np.flatnonzero(begins)
     pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = pieces.dictionary_encode()
-    return coded.indices, coded.dictionary.to_pylist(), np.searchsorted(starts, offsets)
+    joined, places = flat(coded.dictionary)
+    joined, places = joined.tobytes(), places.tolist()
+    return coded.indices, [joined[low:high] for low, high in zip(places[:-1], places[1:], strict=True)], np.searchsorted(starts, offsets)
 
 
 def gathered(values: list[bytes], numbers: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -135,22 +147,46 @@ def library_pieces(path: str, special_as_text: bool = False) -> Callable[[list[b
     tokenizer.no_truncation()
     tokenizer.encode_special_tokens = special_as_text
 
+    def by(one) -> Callable[[list[bytes]], list[bytes]]:
+        return lambda pieces: [array("I", x.ids).tobytes() for x in one.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+
+    whole = by(tokenizer)
+    if not _keeps_lower_ascii(json.loads(tokenizer.to_str())["normalizer"]):
+        return whole
+    bare = Tokenizer.from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None}))
+    bare.encode_special_tokens = special_as_text
+    simple = by(bare)
+
     def encode(pieces: list[bytes]) -> list[bytes]:
-        texts = [x.decode() for x in pieces]
-        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [x.isascii() and not _CHANGED.search(x) for x in pieces]
+        parts = (iter(simple([x for x, p in zip(pieces, plain, strict=True) if p])), iter(whole([x for x, p in zip(pieces, plain, strict=True) if not p])))
+        return [next(parts[0] if p else parts[1]) for p in plain]
 
     return encode
 
 
+#: ASCII that the normalizers below may change.
+_CHANGED = re.compile(rb"[A-Z\s\x1c-\x1f]")
+
+
+def _keeps_lower_ascii(normalizer: dict | None) -> bool:
+    """Whether a normalizer surely leaves ASCII words without capitals as they are, so that they can go without."""
+    if not normalizer:
+        return False
+    if normalizer["type"] == "Sequence":
+        return all(map(_keeps_lower_ascii, normalizer["normalizers"]))
+    return normalizer["type"] in ("NFC", "NFKC", "Lowercase") or normalizer["type"] == "Replace" and normalizer["pattern"] == {"Regex": r"\s+"}
+
+
 def library_table(path: str, special_as_text: bool = False) -> PieceTable:
     """This worker's table of the ids that the library gives."""
     return worker_table(("ids", path, special_as_text), lambda: library_pieces(path, special_as_text))
 
 
-def encoded_rows(column: pa.Array, table: PieceTable, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[memoryview]:
+def encoded_rows(column: pa.Array, table: PieceTable, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], words_only: bool = False) -> Iterator[memoryview]:
     """The ids of each text of a column, by pieces."""
     for _, some in text_steps(column):
-        numbers, pieces, before = numbered_pieces(some, cuts)
+        numbers, pieces, before = numbered_pieces(some, cuts, words_only)
         ids, places = gathered(table.values(pieces), numbers)
         at = places[before].tolist()
         for low, high in zip(at[:-1], at[1:], strict=True):
