@@ -39,8 +39,9 @@ def test_stages_keep_clean_documents(spark, tmp_path):
         assert docs.columns == before.columns
         kept[name] = (before, docs)
     before, after = kept["quality"]
-    clean, junk = (labels.where(f"quality = {q}").select("doc_id") for q in (1, 0))
+    clean, junk, toxic = (labels.where(x).select("doc_id") for x in ("quality = 1 AND toxic = 0", "quality = 0", "quality = 1 AND toxic = 1"))
     assert after.join(clean, "doc_id").count() >= 0.98 * clean.count() and after.join(junk, "doc_id").count() <= 0.05 * junk.count()
+    assert after.join(toxic, "doc_id").count() < 0.5 * toxic.count()
     before, after = kept["language"]
     assert after.count() == before.where(F.col("text").rlike(r"\p{L}")).count()
     before, after = kept["near_duplicates"]
