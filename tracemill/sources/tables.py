@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from tracemill import vocab as V
 from tracemill.functions import keys as K
 from tracemill.functions import text as T
+from tracemill.sources.json_arrays import read_array_items
 from tracemill.sources.rollouts import read_lines
 
 MESSAGES = ("tenant_id long, session_id string, msg_id long, turn_id string, ordinal int, role string, content string, reasoning_content string, "
@@ -70,9 +71,8 @@ def read_error_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_error_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array per file, of any layout."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(ERROR_LIST) if f.name != "ordinal")
-    return spark.read.schema(fields).json(path, multiLine=True, mode="PERMISSIVE")
+    """A JSON array per file, of any layout and size."""
+    return parse_error_lines(read_array_items(spark, path).withColumnRenamed("item", "line"))
 
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
@@ -104,9 +104,17 @@ def parse_skill_files(files: DataFrame, disabled: DataFrame, as_of: Column) -> D
 
 
 def read_skill_catalog(spark: SparkSession, root: str, as_of: Column, *, tenant_id: int = 0, disabled: DataFrame | None = None) -> DataFrame:
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").text(root, wholetext=True)
-    files = raw.select(
-        F.lit(tenant_id).cast("long").alias("tenant_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"),
-        F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("modified"))
+    def files(path: str) -> DataFrame:
+        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").text(path, wholetext=True)
+        return raw.select(
+            F.lit(tenant_id).cast("long").alias("tenant_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"),
+            F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("modified"))
+
+    found = files(root)
+    try:  # Spark lists no hidden directory that isn't named
+        found = found.unionByName(files(f"{root}/.archive"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     off = spark.createDataFrame([], "tenant_id long, name string") if disabled is None else disabled
-    return parse_skill_files(files, off, as_of)
+    return parse_skill_files(found, off, as_of)
