@@ -118,7 +118,7 @@ SELECT query_id, unit_id, round(sim, 6) AS similarity, round(sc, 6) AS score, ro
 def _search(spark, sf_dir, limit):
     v = _vectors(spark, sf_dir)
     asked = v.where("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.concat(F.lit("Turn-"), (F.floor(F.col("unit_id") / 20) % 7).cast("string"), F.lit(" kind NOWHERE")).alias("text"), "embedding")
-    hits = R.vector_search(v, asked, min_similarity=limit, k=20, scope=F.col("source_session_id") != 13, block=64)
+    hits = R.vector_search(v, asked, min_similarity=limit, k=20, scope=F.col("source_session_id") != 13)
     return hits.select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "position")
 
 
