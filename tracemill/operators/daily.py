@@ -45,13 +45,14 @@ def session_evidence(messages: DataFrame, sessions: DataFrame, day: str | None =
     )
 
 
-def fit_budget(evidence: DataFrame, *, many: int = 6, budget: int = 14_000) -> DataFrame:
-    """Lists cut so that a tenant's day fits: two and two for more than `many` sessions, one and one if still too long."""
+def fit_budget(evidence: DataFrame, *, many: int = 6, budget: int = 14_000, by: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
+    """Lists cut so that a tenant's day fits: two and two for more than `many` sessions, one and one if still too long. `by` names what has a
+    budget of its own; evidence of several days needs the day too."""
     def weight(n):
         lists = [F.slice(c, 1, n) for c in ("requests", "conclusions")]
         return F.length("title") + sum((F.length(F.array_join(x, "")) for x in lists), F.lit(0))
 
-    size = evidence.groupBy("tenant_id").agg(F.count("*").alias("_n"), F.sum(weight(2)).alias("_chars"))
+    size = evidence.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(weight(2)).alias("_chars"))
     keep = F.when(F.col("_n") <= many, F.lit(4)).when(F.col("_chars") <= budget, F.lit(2)).otherwise(F.lit(1))
-    out = evidence.join(size.select("tenant_id", keep.alias("kept")), "tenant_id")
+    out = evidence.join(size.select(*by, keep.alias("kept")), list(by))
     return out.withColumn("requests", F.slice("requests", F.lit(1), F.col("kept"))).withColumn("conclusions", F.slice("conclusions", F.lit(1), F.col("kept")))

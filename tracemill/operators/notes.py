@@ -120,8 +120,26 @@ def unique_names(notes: DataFrame, *, chunk: Column) -> DataFrame:
 
 
 # ---- mentions -------------------------------------------------------------------------------------------------------
+def notes_in_window(notes: DataFrame, as_of: Column | DataFrame, days: int, *, areas: tuple[str, ...] = (), skip: tuple[str, ...] = ()) -> DataFrame:
+    """Notes changed in the `days` before a time, without those whose name starts with `_`, those under a directory of `skip`, and, if `areas` are named,
+    those outside of them. A column `as_of` is one time. A table of (as_of) gives every note once for each of its times that the note is
+    in the window of: the times meet the notes by day, `days` + 1 of them at most, and no other pair is formed."""
+    name, directories = F.regexp_extract("path", "([^/]*)$", 1), F.split(F.regexp_replace("path", "[^/]*$", ""), "/")
+    own = ~F.startswith(name, F.lit("_")) & ~F.arrays_overlap(directories, F.array(*[F.lit(d) for d in skip or ("",)]) if skip else F.array().cast("array<string>"))
+    if areas:
+        own = own & F.element_at(directories, 1).isin(*areas)
+    kept = notes.where(own)
+    inside = lambda t: F.col("modified").cast("timestamp").between(F.timestamp_micros(F.unix_micros(t) - days * 86_400_000_000), t)
+    if isinstance(as_of, Column):
+        return kept.where(inside(as_of.cast("timestamp")))
+    times = as_of.select(F.col("as_of").cast("timestamp").alias("as_of")).distinct()
+    last = F.to_date("as_of")
+    binned = times.withColumn("_day", F.explode(F.sequence(F.date_sub(last, days), last)))
+    return kept.withColumn("_day", F.to_date("modified")).join(binned, "_day").where(inside(F.col("as_of"))).drop("_day")
+
+
 def skill_mentions(names: DataFrame, notes: DataFrame) -> DataFrame:
-    """Notes that mention a skill name of six or more characters as a whole token, counted per name.
+    """Notes that mention a skill name of six or more characters as a whole token, counted per name; `notes_in_window` picks those that count.
 
     A match starts and ends at token borders, so the longest token of the name is a whole token of the note and the join runs on
     it. A name that is one token needs no more; longer names are tested on the notes that have their token. Names without a

@@ -102,6 +102,16 @@ def growth_facts(pairs: DataFrame, signals: DataFrame, day: str, *, tz: str = "U
     return c, h
 
 
+def growth_counts(signals: DataFrame, tenants: DataFrame, day: str, *, tz: str = "UTC") -> DataFrame:
+    """Per tenant the corrections, approvals and habits of a day, and `trend`: its corrections on each of the seven days up to it."""
+    d = F.to_date(F.lit(day))
+    trend = correction_trend(signals, tenants, day, tz=tz)
+    trend = trend.groupBy("tenant_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "corrections"))), lambda x: x["corrections"]).alias("trend"))
+    counts = signal_counts(signals, tz=tz).where(F.col("day") == d).drop("day")
+    kinds = [F.coalesce(c, F.lit(0)).alias(c) for c in ("corrections", "approvals", "habits")]
+    return trend.join(counts, "tenant_id", "left").select("tenant_id", *kinds, "trend")
+
+
 # ---- outcomes -------------------------------------------------------------------------------------------------------
 def closing_messages(messages: DataFrame) -> DataFrame:
     """Last substantial assistant text of a session, looked for among its newest 30 assistant rows."""

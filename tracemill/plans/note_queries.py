@@ -124,6 +124,44 @@ def cluster_solutions(spark, sf_dir):
     return N.cluster_solutions(clusters, shape(spark, sf_dir, "notes"))
 
 
+def _dated_notes(spark, sf_dir):
+    """Notes with their time of change; every ninth has a name that starts with `_`, every seventh lies in a directory of the system's own."""
+    n = shape(spark, sf_dir, "notes").withColumnRenamed("day", "modified")
+    name = F.concat(F.when(F.col("doc_id") % 9 == 0, "_").otherwise(""), F.col("doc_id").cast("string"), F.lit(".md"))
+    area = F.element_at(F.array(*map(F.lit, ("daily", "projects", "drafts"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return n.withColumn("path", F.concat(area, F.lit("/"), F.when(F.col("doc_id") % 7 == 0, "skill-evolution/").otherwise(""), name))
+
+
+_DATED = ctes("notes").replace("notes AS (", "given_notes AS (") + """, notes AS (SELECT doc_id, body, day AS modified, concat(['daily', 'projects', 'drafts'][doc_id % 3 + 1], '/', CASE WHEN doc_id % 7 = 0 THEN 'skill-evolution/' ELSE '' END,
+  CASE WHEN doc_id % 9 = 0 THEN '_' ELSE '' END, CAST(doc_id AS VARCHAR), '.md') AS path FROM given_notes)"""
+
+
+@query(_DATED + _NAMES + """SELECT name, count(*) AS mentions FROM names JOIN notes ON contains(lower(body), name)
+WHERE doc_id % 9 <> 0 AND doc_id % 7 <> 0 AND modified BETWEEN DATE '2024-02-01' AND DATE '2024-05-01' AND regexp_matches(lower(body), concat('(^|[^a-z0-9-])', name, '($|[^a-z0-9-])')) GROUP BY name""")
+def skill_mentions_90d(spark, sf_dir):
+    notes = N.notes_in_window(_dated_notes(spark, sf_dir), F.lit("2024-05-01"), 90, skip=("skill-evolution",))
+    return N.skill_mentions(_names(spark, sf_dir), notes)
+
+
+@query(_DATED + """, cl AS (SELECT item_id AS cluster_key, text AS title FROM benchmark),
+t AS (SELECT cluster_key, w, count(*) AS times FROM (SELECT cluster_key, unnest(regexp_split_to_array(lower(title), '[\\s/._-]+')) AS w FROM cl) WHERE length(w) >= 4 GROUP BY ALL),
+s AS (SELECT cluster_key, path, sum(times) AS score FROM t JOIN notes ON contains(lower(body), w) WHERE doc_id % 9 <> 0 AND doc_id % 3 <> 2 AND modified BETWEEN DATE '2024-02-17' AND DATE '2024-08-15' GROUP BY ALL HAVING sum(times) >= 2)
+SELECT cluster_key, path, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY cluster_key ORDER BY path) AS position FROM s QUALIFY position <= 3""")
+def cluster_solutions_180d(spark, sf_dir):
+    b = given(spark, sf_dir, "benchmark")
+    notes = N.notes_in_window(_dated_notes(spark, sf_dir), F.lit("2024-08-15"), 180, areas=("preferences", "projects", "incidents", "daily"))
+    return N.cluster_solutions(b.select(F.col("item_id").alias("cluster_key"), F.col("text").alias("title")), notes)
+
+
+@query(_DATED + """, t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS as_of FROM orders WHERE o_orderdate < DATE '2024-12-01')
+SELECT as_of::VARCHAR AS as_of, count(*) AS notes FROM t JOIN notes ON modified BETWEEN as_of - 30 AND as_of WHERE doc_id % 9 <> 0 GROUP BY 1""")
+def notes_by_window(spark, sf_dir):
+    """How many notes each day of the orders sees in the 30 days before it."""
+    times = given(spark, sf_dir, "orders").where("o_orderdate < '2024-12-01'").select(F.to_date("o_orderdate").alias("as_of"))
+    rows = N.notes_in_window(_dated_notes(spark, sf_dir), times, 30)
+    return rows.groupBy(F.to_date("as_of").cast("string").alias("as_of")).agg(F.count("*").alias("notes"))
+
+
 _ROUTE = ctes("notes") + """, inc AS (SELECT doc_id AS note_id, CASE doc_id % 5 WHEN 0 THEN 'incidents' WHEN 1 THEN '../x' WHEN 2 THEN concat('p ', CAST(doc_id % 3 AS VARCHAR)) ELSE '' END AS tag,
   concat(substring(body, 1, 40), ' ', body) AS t FROM notes),
 pr AS (SELECT concat(substring(text, 1, 9), '-', CAST(item_id AS VARCHAR)) AS project FROM benchmark),

@@ -154,6 +154,17 @@ def growth_facts_of_day(spark, sf_dir):
     return c.withColumn("part", F.lit("correction")).unionByName(h.withColumn("part", F.lit("habit")), allowMissingColumns=True)
 
 
+@query(_ANY + """, g AS (SELECT tenant_id, CAST(unnest(generate_series(DATE '2023-12-28', DATE '2024-01-03', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT tenant_id FROM sessions)),
+t AS (SELECT g.tenant_id, g.day, count(s.msg_id) AS n FROM g LEFT JOIN (SELECT * FROM signals WHERE kind = 'correction') s ON s.tenant_id = g.tenant_id AND CAST(s.ts AS DATE) = g.day GROUP BY ALL),
+d AS (SELECT tenant_id, count(*) FILTER (WHERE kind = 'correction') AS corrections, count(*) FILTER (WHERE kind = 'approval') AS approvals, count(*) FILTER (WHERE kind = 'habit') AS habits
+  FROM signals WHERE CAST(ts AS DATE) = DATE '2024-01-03' GROUP BY 1)
+SELECT tenant_id, coalesce(any_value(corrections), 0) AS corrections, coalesce(any_value(approvals), 0) AS approvals, coalesce(any_value(habits), 0) AS habits, string_agg(CAST(n AS VARCHAR), ',' ORDER BY day) AS trend
+FROM t LEFT JOIN d USING (tenant_id) GROUP BY tenant_id""")
+def growth_counts_of_day(spark, sf_dir):
+    sig = G.user_signals(_spoken(spark, sf_dir, root_only=False), vocab=WORDS)
+    return G.growth_counts(sig, shape(spark, sf_dir, "sessions"), DAY).withColumn("trend", F.array_join(F.col("trend").cast("array<string>"), ","))
+
+
 _CLOSING = ctes("messages", "sessions") + """,
 c AS (SELECT session_id, ts AS closed_at, text, msg_id FROM (SELECT *, trim(content, E' \\n\\t\\r') AS text,
         row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, msg_id DESC) AS rn FROM messages WHERE role = 'assistant')
@@ -274,6 +285,16 @@ def daily_evidence_budget(spark, sf_dir):
     return e.select("session_id", "kept", F.array_join("requests", "¦").alias("requests"), F.array_join("conclusions", "¦").alias("conclusions"))
 
 
+@query(_EVIDENCE + """, r AS (SELECT cl.*, CAST(s.started_at AS DATE) AS day, string_split(requests, '¦') AS rl, string_split(conclusions, '¦') AS cn FROM cl JOIN sessions s USING (session_id) WHERE class = 'real'),
+z AS (SELECT r.tenant_id, day, count(*) AS n, sum(length(r.title) + length(array_to_string(rl[1:2], '')) + length(array_to_string(cn[1:2], ''))) AS chars FROM r GROUP BY ALL),
+k AS (SELECT tenant_id, day, CASE WHEN n <= 2 THEN 4 WHEN chars <= 1400 THEN 2 ELSE 1 END AS kept FROM z)
+SELECT session_id, kept, array_to_string(rl[1:kept], '¦') AS requests, array_to_string(cn[1:kept], '¦') AS conclusions FROM r JOIN k USING (tenant_id, day)""")
+def daily_evidence_budget_by_day(spark, sf_dir):
+    e = _evidence(spark, sf_dir).where("class = 'real'").withColumn("day", F.to_date("started_at"))
+    e = D.fit_budget(e, many=2, budget=1400, by=("tenant_id", "day"))
+    return e.select("session_id", "kept", F.array_join("requests", "¦").alias("requests"), F.array_join("conclusions", "¦").alias("conclusions"))
+
+
 @query(ctes("messages") + f"SELECT msg_id, md5({_CLEAN}) AS digest FROM messages")
 def clean_lines(spark, sf_dir):
     return _messages(spark, sf_dir).select("msg_id", F.md5(T.clean_lines("content")).alias("digest"))

@@ -88,6 +88,7 @@ PATH_PATTERN = (
     "(?i)(?:(?:/Users|/Volumes|/tmp|/var/folders|~/|\\.\\.?/)[^\\s`<>\"'|)\\],;]+|"
     "(?:[\\w./-]+/)(?:[^\\s`<>\"'|)\\],;]+\\.(?:py|sh|md|jsonl?|db|png|html|toml|yaml|yml|log|txt)))"
 )
+PATH_STOPS = "(?U)[\\s`<>\"'|)\\],;]+"
 VERIFY_DENIED = (
     "not allowed", "unavailable", "permission denied", "operation not permitted", "traceback", "command failed",
     "process exited with code [1-9]\\d*", "^\\s*exit_code\\s*[:=]\\s*[1-9]\\d*\\b", "^\\s*returncode\\s*[:=]\\s*[1-9]\\d*\\b",
