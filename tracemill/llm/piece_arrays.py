@@ -10,6 +10,8 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -151,26 +153,25 @@ def library_pieces(path: str, special_as_text: bool = False) -> Callable[[list[b
         return lambda pieces: [array("I", x.ids).tobytes() for x in one.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
 
     whole = by(tokenizer)
-    if not _keeps_lower_ascii(json.loads(tokenizer.to_str())["normalizer"]):
+    spec = json.loads(tokenizer.to_str())
+    if not (_keeps_lower_ascii(spec["normalizer"]) and _keeps_letters(spec["pre_tokenizer"])):
         return whole
-    bare = Tokenizer.from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None}))
-    bare.encode_special_tokens = special_as_text
-    simple = by(bare)
+    bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][-1]}))
+    words = by(bare)
 
     def encode(pieces: list[bytes]) -> list[bytes]:
-        plain = [x.isascii() and not _CHANGED.search(x) for x in pieces]
-        parts = (iter(simple([x for x, p in zip(pieces, plain, strict=True) if p])), iter(whole([x for x, p in zip(pieces, plain, strict=True) if not p])))
+        plain = list(map(bool, map(_LETTERS, pieces)))
+        parts = (iter(words(list(compress(pieces, plain)))), iter(whole(list(compress(pieces, map(not_, plain))))))
         return [next(parts[0] if p else parts[1]) for p in plain]
 
     return encode
 
 
-#: ASCII that the normalizers below may change.
-_CHANGED = re.compile(rb"[A-Z\s\x1c-\x1f]")
+_LETTERS = re.compile(rb"[a-z]+").fullmatch
 
 
 def _keeps_lower_ascii(normalizer: dict | None) -> bool:
-    """Whether a normalizer surely leaves ASCII words without capitals as they are, so that they can go without."""
+    """Whether a normalizer surely leaves words of a-z as they are, so that they can go without."""
     if not normalizer:
         return False
     if normalizer["type"] == "Sequence":
@@ -178,6 +179,16 @@ def _keeps_lower_ascii(normalizer: dict | None) -> bool:
     return normalizer["type"] in ("NFC", "NFKC", "Lowercase") or normalizer["type"] == "Replace" and normalizer["pattern"] == {"Regex": r"\s+"}
 
 
+def _keeps_letters(pre_tokenizer: dict | None) -> bool:
+    """Whether a run of letters is one word before the merges, so that words of a-z need not be split: a pattern of words with an entry for such
+    runs, then bytes without a pattern."""
+    if not pre_tokenizer or pre_tokenizer["type"] != "Sequence" or len(pre_tokenizer["pretokenizers"]) != 2:
+        return False
+    split, last = pre_tokenizer["pretokenizers"]
+    letters = split["type"] == "Split" and split["invert"] and r"|[\p{L}]+|" in split["pattern"].get("Regex", "")
+    return letters and last["type"] == "ByteLevel" and not last["use_regex"] and not last["add_prefix_space"]
+
+
 def library_table(path: str, special_as_text: bool = False) -> PieceTable:
     """This worker's table of the ids that the library gives."""
     return worker_table(("ids", path, special_as_text), lambda: library_pieces(path, special_as_text))

@@ -97,7 +97,7 @@ def token_rests(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
         table, end = library_table(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
             row, start, size, crc, total, rest = [], [], [], [], [], []
-            for k, ids in enumerate(encoded_rows(batch.column("text"), table, word_cuts)):
+            for k, ids in enumerate(encoded_rows(batch.column("text"), table, word_cuts, words_only=True)):
                 n = len(ids) // 4 + 1
                 for at in range(0, n, capacity):
                     part = bytes(ids[4 * at : 4 * (at + capacity)])
