@@ -26,6 +26,8 @@ from tracemill.session import materialize
 
 #: Text of a block of documents; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Pieces whose alignment a worker keeps at most: one takes about half a kilobyte.
+ALIGNED_PIECES = 500_000
 _SHIFT = 32
 
 
@@ -110,7 +112,7 @@ def _aligned(path_a: str, path_b: str):
     """Documents as stored rows of blocks; a block's first row lists its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(("align", path_a, path_b), lambda: Aligner(path_a, path_b).align)
+        table = worker_table(("align", path_a, path_b), lambda: Aligner(path_a, path_b).align, ALIGNED_PIECES)
         number = itertools.count()
         for batch in batches:
             for low, texts in text_steps(batch.column("text"), BLOCK_BYTES):
