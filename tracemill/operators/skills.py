@@ -61,7 +61,7 @@ def skill_metrics(loads: DataFrame, as_of: Column) -> DataFrame:
     return per_session.groupBy("tenant_id", "skill_key").agg(
         F.min("skill").alias("skill"), F.count("*").alias("load_sessions"), F.count_if("recent").alias("load_sessions_30d"),
         F.sum("errors").alias("self_errors"), F.sum("recent_errors").alias("recent_self_errors"),
-        F.count_if(F.col("n") >= 2).alias("reload_sessions"), K.age_days(F.max("last").cast("timestamp"), as_of).alias("last_used_days"),
+        F.count_if(F.col("n") >= 2).alias("reload_sessions"), F.floor(K.age_seconds(F.max("last").cast("timestamp"), as_of) / 86_400).cast("int").alias("last_used_days"),
     )
 
 
