@@ -190,3 +190,12 @@ def test_merged_sketches_are_the_sketch_of_both(spark):
     parts = [" ".join(f"x{k}" for k in range(a, b)) for a, b in ((0, 80), (60, 200))]
     row = spark.createDataFrame([(parts[0], parts[1])], "a string, b string").select(sketches.merge(sketches.sketch(F.col("a")), sketches.sketch(F.col("b"))).alias("m"), sketches.containment(sketches.sketch(F.col("a")), sketches.sketch(F.col("b"))).alias("c")).head()
     assert row.m == sorted({*md5_sketch(parts[0], 5, "2"), *md5_sketch(parts[1], 5, "2")}) and 0 <= row.c <= 1
+
+
+def test_more_links_follow_only_those_between_components(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(neardup, "components", lambda links: seen.append(links.count()) or components(links))
+    first, more = [(1, 2), (3, 4), (4, 5)], [(2, 1), (3, 5), (5, 2), (4, 1), (8, 9)]
+    labels = components(spark.createDataFrame(first, "a long, b long"))
+    got = neardup._merged(labels, spark.createDataFrame(more, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == roots({1, 2, 3, 4, 5, 8, 9}, first + more) and seen == [3]

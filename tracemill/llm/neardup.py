@@ -185,13 +185,46 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where("ra <> rb")
 
 
-def _to_centres(known: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each class that failed a near comparison with another component, and that component's best-connected classes."""
-    degree = known.where("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    centres = top_rows(degree.join(labels, "node"), ["root"], [F.desc("links"), F.col("node")], CENTRES).select("root", F.col("node").alias("centre"))
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after some more links. Only links between different components are followed, each once. Stored."""
+    roots = components(_apart(links, labels).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    tops = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # A linked class without links before was a component by itself.
+    nodes = labels.union(roots.join(labels, "node", "left_anti").select("node", F.col("node").alias("root")))
+    out = materialize(nodes.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+    discard(roots)
+    discard(labels)
+    return out
+
+
+def _met(found: DataFrame, met: DataFrame | None, labels: DataFrame) -> DataFrame:
+    """one and root of each class that failed a near comparison with another component, each once: what was met before, by the components of
+    now, and the failed pairs of the last comparisons alone. Stored."""
     ends = F.array(F.struct(F.col("a").alias("one"), F.col("rb").alias("root")), F.struct(F.col("b").alias("one"), F.col("ra").alias("root")))
-    # Each class and the component it may meet, once, before these meet the components' centres.
-    meets = _apart(known.where("NOT linked"), labels).select(F.explode(ends).alias("m")).select("m.one", "m.root").distinct().join(centres, "root")
+    out = _apart(found.where("NOT linked"), labels).select(F.explode(ends).alias("m")).select("m.one", "m.root")
+    if met is not None:
+        out = out.union(_apart(met.toDF("a", "b"), labels).select(F.col("a").alias("one"), F.col("rb").alias("root")))
+    out = materialize(out.distinct(), "ends")
+    if met is not None:
+        discard(met)
+    return out
+
+
+def _degrees(found: DataFrame, degrees: DataFrame | None) -> DataFrame:
+    """node and its links so far. Stored."""
+    out = found.where("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    if degrees is not None:
+        out = degrees.union(out).groupBy("node").agg(F.sum("links").alias("links"))
+    out = materialize(out, "degrees")
+    if degrees is not None:
+        discard(degrees)
+    return out
+
+
+def _to_centres(met: DataFrame, degrees: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class that failed a near comparison with another component, and that component's best-connected classes."""
+    centres = top_rows(degrees.join(labels, "node"), ["root"], [F.desc("links"), F.col("node")], CENTRES).select("root", F.col("node").alias("centre"))
+    meets = met.join(centres, "root")
     return meets.select(F.least("one", "centre").alias("a"), F.greatest("one", "centre").alias("b")).where("a <> b").distinct()
 
 
@@ -283,14 +316,17 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
     ways = pairs.select("a", "b", "hits", "lcp").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "hits", "lcp"))
     best = ways.groupBy("a").agg(F.max(F.struct("hits", "lcp", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     todo, swept = materialize(best, "tried"), False
-    tried = known = labels = None
+    tried = labels = met = degrees = None
     while True:
         tried = todo if tried is None else tried.union(todo)
         found = compared(todo, sets, percent)
-        known = found if known is None else known.union(found)
-        if labels is None or not found.where("linked").isEmpty():
-            labels = components(known.where("linked"))
-        todo = materialize(_to_centres(known, labels).join(tried, ["a", "b"], "left_anti"), "tried")
+        if labels is None:
+            labels = components(found.where("linked"))
+        elif not found.where("linked").isEmpty():
+            labels = _merged(labels, found.where("linked"))
+        met, degrees = _met(found, met, labels), _degrees(found, degrees)
+        discard(found)
+        todo = materialize(_to_centres(met, degrees, labels).join(tried, ["a", "b"], "left_anti"), "tried")
         if todo.isEmpty() and not swept:
             # What is still apart after that: all other candidates.
             todo, swept = materialize(_apart(pairs, labels).select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried"), True
@@ -301,7 +337,9 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
     if not crowds.isEmpty():
         found = crowd_links(crowds, sets, percent)
         if not found.isEmpty():
-            labels = components(known.where("linked").union(found))
+            labels = _merged(labels, found)
+    for stored in (met, degrees):
+        discard(stored)
     discard(crowds)
     discard(cut)
     discard(pairs)
