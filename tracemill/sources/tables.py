@@ -60,9 +60,10 @@ ERROR_LIST = ("event_id string, run_id string, key string, what string, source s
 def parse_error_lines(lines: DataFrame) -> DataFrame:
     """Error records from JSON lines or from lines of a JSON array; lines that are not an object are skipped."""
     fields = StructType.fromDDL(ERROR_LIST).fieldNames()[:-1]
-    v = F.try_parse_json(F.regexp_replace(T.strip("line"), r"^\[|,$|\]$", ""))
-    return lines.select("path", F.col("ordinal").cast("long").alias("ordinal"), v.alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))).select(
-        "path", *[F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in fields], "ordinal")
+    text = lines.select("path", F.col("ordinal").cast("long").alias("ordinal"), F.regexp_replace(T.strip("line"), r"^\[|,$|\]$", "").alias("text"))
+    # Conditions on the fields stay above a generator, so a line is parsed once and not again for each of them.
+    parsed = text.where(F.col("text").rlike(r"^[ \t\r\n]*\{")).select("path", "ordinal", F.explode(F.array(F.try_parse_json("text"))).alias("v")).where("v IS NOT NULL")
+    return parsed.select("path", *[F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in fields], "ordinal")
 
 
 def read_error_lines(spark: SparkSession, path: str) -> DataFrame:
