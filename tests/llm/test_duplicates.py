@@ -199,3 +199,13 @@ def test_more_links_follow_only_those_between_components(spark, monkeypatch):
     labels = components(spark.createDataFrame(first, "a long, b long"))
     got = neardup._merged(labels, spark.createDataFrame(more, "a long, b long")).collect()
     assert {r.node: r.root for r in got} == roots({1, 2, 3, 4, 5, 8, 9}, first + more) and seen == [3]
+
+
+def test_pairs_inside_a_component_are_not_formed(spark):
+    """Components travel with the classes of a large group; they are not looked up for each pair of neighbours in it."""
+    sig = lambda k: bytes(12) + k.to_bytes(4, "big") + bytes(8)
+    rows = [(k, sig(k), 0 if k < 90 else k) for k in range(100)]
+    classes = spark.createDataFrame(rows, "doc_id long, sig binary, root long")
+    pairs, cut = neardup.candidates(classes, 1, 6, 3, 4, 100)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for b in range(90, 100) for a in range(b - 4, b)}
+    assert {r.node for r in cut.collect()} == {*range(100)}

@@ -5,7 +5,7 @@
    so no region is ever one task's. A row meets the `reach` rows before it, as far as the first `least_depth` values agree: the depth adapts,
    as in a dense region the nearest rows agree in more values than in a sparse one.
 3. Candidates are confirmed on the full sets. First each class's best candidate; in the end those between classes that still aren't
-   connected.
+   connected. For these the orders are sorted once more, with each class's component beside it, so that a pair inside a component is not formed.
 4. Two sets that both link to a third have a Jaccard distance of at most twice the allowed one (it is a metric). So a candidate pair that
    failed, but is within that, may still meet in a third: each end is compared with the best-connected classes of the other end's component,
    until nothing new links. This finds a group's centre without comparing all of its members.
@@ -86,20 +86,20 @@ def _kind(rows: DataFrame) -> str:
     return rows.schema["doc_id"].dataType.simpleString()
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, reach: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """a, b, hits (orders in which they are neighbours) and lcp (longest common prefix in any) of candidate pairs of (doc_id, sig);
-    `size` is the number of classes. And tree, key (the first `least_depth` values) and node of the rows whose reach was cut, or may have
-    been, at the borders of tasks."""
+def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, reach: int, size: int, cuts: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """a, b, hits (orders in which they are neighbours) and lcp (longest common prefix in any) of candidate pairs of (doc_id, sig, root) with
+    different roots; `size` is the number of classes. And, if `cuts`, tree, key (the first `least_depth` values) and node of the rows whose
+    reach was cut, or may have been, at the borders of tasks."""
     kind = classes.schema["doc_id"].dataType.simpleString()
-    orders = classes.select("doc_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    orders = orders.select("tree", F.substring(F.col("sig"), F.col("tree") * (4 * depth) + 1, F.lit(4 * depth)).alias("key"), "doc_id")
+    orders = classes.select("doc_id", "sig", "root", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    orders = orders.select("tree", F.substring(F.col("sig"), F.col("tree") * (4 * depth) + 1, F.lit(4 * depth)).alias("key"), "doc_id", "root")
     partitions = max(1, min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), size * trees // RUN_ROWS))
     # Equal keys come in another order in each tree, so that a class meets other ones of them each time.
     order = ["tree", "key", F.xxhash64("doc_id", "tree"), "doc_id"]
     runs = orders.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["run", "side", "place", "a", "b", "lcp", "tree", "key"]
+        names = ["run", "side", "place", "a", "b", "lcp", "tree", "key", "root"]
         number = TaskContext.get().partitionId()
         held: pa.Table | None = None
         seen = 0
@@ -109,6 +109,7 @@ def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, rea
             old = len(rows) - len(fresh)
             keys = np.frombuffer(b"".join(rows["key"].to_pylist()), ">u4").reshape(len(rows), depth)
             tree, ids = rows["tree"].to_numpy(), rows["doc_id"].combine_chunks()
+            root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
             cut = np.zeros(len(rows), bool)
             for back in range(1, reach + 2):
                 at = np.arange(max(old, back), len(rows))
@@ -116,32 +117,35 @@ def candidates(classes: DataFrame, trees: int, depth: int, least_depth: int, rea
                 ok = (same >= least_depth) & (tree[at] == tree[at - back])
                 if back > reach:
                     cut[at[ok]] = cut[at[ok] - back] = True
-                elif ok.any():
+                    break
+                ok &= root[at] != root[at - back]
+                if ok.any():
                     n = int(ok.sum())
                     nothing = pa.nulls(n, pa.int32())
-                    yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, ids.take(pa.array(at[ok] - back)), ids.take(pa.array(at[ok])), pa.array(same[ok].astype(np.int32)), nothing, pa.nulls(n, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, ids.take(pa.array(at[ok] - back)), ids.take(pa.array(at[ok])), pa.array(same[ok].astype(np.int32)), nothing, pa.nulls(n, pa.binary()), pa.nulls(n, ids.type)], names)
             if seen <= reach:
                 cut[old : old + reach + 1 - seen] = True
-            if cut.any():
+            if cuts and cut.any():
                 yield _border(rows.filter(pa.array(cut)), number, 2, range(int(cut.sum())), names)
             if seen < reach:
                 yield _border(fresh.slice(0, reach - seen), number, 0, range(seen, seen + min(len(fresh), reach - seen)), names)
             seen += len(fresh)
             held = rows.slice(max(0, len(rows) - reach - 1))
         if held is not None:
-            yield _border(held, number, 2, range(len(held)), names)
+            if cuts:
+                yield _border(held, number, 2, range(len(held)), names)
             held = held.slice(max(0, len(held) - reach))
             yield _border(held, number, 1, range(len(held) - 1, -1, -1), names)
 
-    met = materialize(runs.mapInArrow(meet, f"run int, side int, place int, a {kind}, b {kind}, lcp int, tree int, key binary"), "met")
-    heads = met.where("side = 0").select((F.col("run") - 1).alias("run"), "tree", F.col("place").alias("after"), F.col("a").alias("b"), F.col("key").alias("next_key"))
-    tails = met.where("side = 1").select("run", "tree", F.col("place").alias("before"), "a", "key")
+    met = materialize(runs.mapInArrow(meet, f"run int, side int, place int, a {kind}, b {kind}, lcp int, tree int, key binary, root {kind}"), "met")
+    heads = met.where("side = 0").select((F.col("run") - 1).alias("run"), "tree", F.col("place").alias("after"), F.col("a").alias("b"), F.col("key").alias("next_key"), F.col("root").alias("next_root"))
+    tails = met.where("side = 1").select("run", "tree", F.col("place").alias("before"), "a", "key", "root")
     lcp = reduce(lambda x, y: x + y, (F.when(F.substring("key", 1, 4 * d) == F.substring("next_key", 1, 4 * d), 1).otherwise(0) for d in range(1, depth + 1)))
-    across = tails.join(heads, ["run", "tree"]).where(F.col("before") + F.col("after") < reach).select("a", "b", lcp.cast("int").alias("lcp")).where(F.col("lcp") >= least_depth)
+    across = tails.join(heads, ["run", "tree"]).where((F.col("before") + F.col("after") < reach) & (F.col("root") != F.col("next_root"))).select("a", "b", lcp.cast("int").alias("lcp")).where(F.col("lcp") >= least_depth)
     pairs = met.where("side IS NULL").select("a", "b", "lcp").union(across)
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("hits"), F.max("lcp").alias("lcp"))
     out = materialize(pairs, "candidates")
-    cut = materialize(met.where("side = 2").select("tree", F.substring("key", 1, 4 * least_depth).alias("key"), F.col("a").alias("node")).distinct(), "cut")
+    cut = materialize(met.where("side = 2").select("tree", F.substring("key", 1, 4 * least_depth).alias("key"), F.col("a").alias("node")).distinct(), "cut") if cuts else None
     discard(met)
     return out, cut
 
@@ -150,7 +154,7 @@ def _border(rows: pa.Table, number: int, side: int, places: range, names: list[s
     n = len(rows)
     ids = rows["doc_id"].combine_chunks()
     return pa.RecordBatch.from_arrays(
-        [pa.array([number] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(list(places)[:n], pa.int32()), ids, pa.nulls(n, ids.type), pa.nulls(n, pa.int32()), rows["tree"].combine_chunks(), rows["key"].combine_chunks()], names
+        [pa.array([number] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(list(places)[:n], pa.int32()), ids, pa.nulls(n, ids.type), pa.nulls(n, pa.int32()), rows["tree"].combine_chunks(), rows["key"].combine_chunks(), rows["root"].combine_chunks()], names
     )
 
 
@@ -304,18 +308,19 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int, trees: int, depth: int, least_depth: int, reach: int) -> DataFrame:
     """node and root of every class that links to another. `rows` has the texts by doc_id, `classes` (doc_id, sig) one row per distinct set."""
-    pairs, cut = candidates(classes, trees, depth, least_depth, reach, classes.count())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs, cut = candidates(classes.withColumn("root", F.col("doc_id")), trees, depth, least_depth, reach, classes.count(), cuts=False)
+    ways = pairs.select("a", "b", "hits", "lcp").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "hits", "lcp"))
+    best = materialize(ways.groupBy("a").agg(F.max(F.struct("hits", "lcp", "b")).alias("best")).select("a", "best.b"), "best")
+    discard(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch.column("text"), width)], pa.binary())], ["doc_id", "shingles"])
 
     # A merge join at every size: few documents have candidates, but how many grows with the corpus, so they are never broadcast.
-    sets = materialize(rows.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(run, f"doc_id {_kind(rows)}, shingles binary"), "sets")
-    ways = pairs.select("a", "b", "hits", "lcp").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "hits", "lcp"))
-    best = ways.groupBy("a").agg(F.max(F.struct("hits", "lcp", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
-    todo, swept = materialize(best, "tried"), False
+    sets = materialize(rows.join(best.select(F.col("a").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(run, f"doc_id {_kind(rows)}, shingles binary"), "sets")
+    todo, swept = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried"), False
+    discard(best)
     tried = labels = met = degrees = None
     while True:
         tried = todo if tried is None else tried.union(todo)
@@ -328,8 +333,13 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
         discard(found)
         todo = materialize(_to_centres(met, degrees, labels).join(tried, ["a", "b"], "left_anti"), "tried")
         if todo.isEmpty() and not swept:
-            # What is still apart after that: all other candidates.
-            todo, swept = materialize(_apart(pairs, labels).select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried"), True
+            # What is still apart after that: all other candidates. A class without any has none in this order either.
+            apart = classes.join(sets.select("doc_id"), "doc_id", "left_semi").join(labels, F.col("doc_id") == F.col("node"), "left")
+            apart = materialize(apart.select("doc_id", "sig", F.coalesce("root", "doc_id").alias("root")), "apart")
+            pairs, cut = candidates(apart, trees, depth, least_depth, reach, apart.count())
+            todo, swept = materialize(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried"), True
+            discard(apart)
+            discard(pairs)
         if todo.isEmpty():
             break
     # Exact, so once is enough: what is still apart now and was cut meets here.
@@ -342,7 +352,6 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
         discard(stored)
     discard(crowds)
     discard(cut)
-    discard(pairs)
     discard(sets)
     return labels
 
