@@ -28,8 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: those without a text or a letter. Without known languages to learn from all stay."""
-    return langid.keep_identified(docs, langid.train(docs))
+    """Drops documents in no language, those without a text or a letter, and sets `lang` to the language found, by which the last stage packs.
+    Without known languages to learn from all stay as they are."""
+    return langid.keep_identified(docs, langid.train(docs), lang_col="lang")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids of all documents into sequences of 2048."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    """Packs the token ids of all documents into sequences of 2048, each of one language."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0, by="lang")
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]

@@ -88,3 +88,15 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert not corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_sequences_hold_the_language_that_was_found(spark, tmp_path):
+    words = {"en": "the of and with that from this thing which through".split(), "es": "el los una para pero como cuando donde ella mucho".split()}
+    text = lambda lang, k: " ".join(words[lang][(k + j * j) % 10] for j in range(30))
+    rows = [(100 * n + k, text(lang, k), None if k >= 20 else lang, "s", 1) for n, lang in enumerate(words) for k in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.language_stage(spark, docs, str(tmp_path))
+    assert {r.doc_id: r.lang for r in found.collect()} == {r[0]: ("es" if r[0] >= 100 else "en") for r in rows}
+    packed = corpus_pipeline.packing_stage(spark, found, str(tmp_path)).collect()
+    held = {s: {r.doc_id >= 100 for r in packed if r.sequence_id == s} for s in {r.sequence_id for r in packed}}
+    assert len(packed) == 50 and all(len(langs) == 1 for langs in held.values())

@@ -191,16 +191,20 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]
     return rows.mapInArrow(run, f"{kept}lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is known with a score of at least `least_score`. Without a model all stay."""
+def keep_identified(docs: DataFrame, model: LanguageModel | None, least_score: float = 0.0, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of at least `least_score`; `lang_col`, if named, is a column
+    that takes the language. Without a model all stay as they are."""
     if model is None:
         return docs
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    place, at = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shipped.value.predict(batch.column(place))
+            if at is not None:
+                columns = [pa.array(names, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+                batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
             yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,8 +34,8 @@ WORTH = 0.75
 _SEQUENCES = 1 << 24
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of each piece of each document's ids with `end_id` at the end.
+def token_pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", by: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of each piece of each document's ids with `end_id` at the end; and `by`, if that column is named.
 
     The first piece takes what is over the full ones, so all but the first have the full length. A null or empty text is one piece of
     one token. Repeated rows are documents of their own; other columns are not read.
@@ -56,13 +56,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int,
                     size.append(step)
                     crc.append(zlib.crc32(memoryview(ids)[4 * at : 4 * (at + step)]))
                     at, step = at + step, length
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            at = pa.array(row, pa.int64())
+            own = {"by": batch.column("by").take(at)} if by else {}
+            columns = {"doc_id": batch.column("doc_id").take(at), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())} | own
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[by].alias("by")) if by else id_and_text(docs, id_col, text_col)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    return rows.mapInArrow(run, f"{schema}, by {rows.schema['by'].dataType.simpleString()}" if by else schema)
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -126,40 +127,55 @@ def _pack_group(capacity: int, last: bool):
         if not last:
             free[np.argsort(fills, kind="stable")[: 1 + 4 * gap]] = True
             free &= fills < capacity
-        return pd.DataFrame({"uid": rows["uid"].to_numpy(), "length": sizes, "grp": key[0], "bin": bins, "offset": offsets, "free": free[bins], "gap": gap})
+        return pd.DataFrame({"uid": rows["uid"].to_numpy(), "length": sizes, "grp": key[0], "kind": rows["kind"].to_numpy(), "bin": bins, "offset": offsets, "free": free[bins], "gap": gap})
 
     return run
 
 
-def pack(rows: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(rows: DataFrame, capacity: int, group_rows: int = GROUP_ROWS, by: str | None = None) -> DataFrame:
     """uid, sequence_id, offset and gap of each row of (uid, length), uid distinct and length 1 to `capacity`. gap is the certificate of the group that
     placed the row: its sequences beyond the lower bound, 0 if it is known to need as many.
 
-    An empty table gives none. Rows of the full length are sequences by themselves.
+    An empty table gives none. Rows of the full length are sequences by themselves. `by` is a column of few values that no sequence mixes.
     """
     full = rows.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
-    left, level, done = rows.where(F.col("length") < capacity).select("uid", "length"), 0, [full]
-    rows_left = met = left.count()
+    kind = F.lit(0)
+    if by:
+        for n, (value,) in enumerate(sorted(rows.select(by).distinct().collect(), key=str)):
+            kind = F.when(F.col(by).eqNullSafe(F.lit(value)), n).otherwise(kind)
+    left, level, done = rows.where(F.col("length") < capacity).select("uid", "length", kind.alias("kind")), 0, [full]
+    counts = _counts(left)
+    met = sum(counts.values())
     while True:
-        groups = max(1, math.ceil(rows_left / group_rows))
+        groups = {k: max(1, math.ceil(n / group_rows)) for k, n in counts.items()}
+        rows_left = sum(counts.values())
         # Freed rows meet anew, in groups of the same size, as long as fewer are freed each time.
-        last = groups == 1 or bool(level) and rows_left > WORTH * met
+        last = all(n == 1 for n in groups.values()) or bool(level) and rows_left > WORTH * met
         met = rows_left
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
-        packed = dealt.groupBy("grp").applyInPandas(_pack_group(capacity, last), "uid long, length long, grp long, bin long, offset long, free boolean, gap long")
+        group, before = F.lit(0).cast("long"), 0
+        for k, n in groups.items():
+            group = F.when(F.col("kind") == k, F.lit(before) + F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(n))).otherwise(group)
+            before += n
+        dealt = left.withColumn("grp", group)
+        packed = dealt.groupBy("grp").applyInPandas(_pack_group(capacity, last), "uid long, length long, grp long, kind int, bin long, offset long, free boolean, gap long")
         packed = materialize(packed, f"packed-{level}")
         number = F.lit(level << 56) + F.col("grp") * _SEQUENCES + F.col("bin")
         done.append(packed.where(~F.col("free")).select("uid", number.alias("sequence_id"), "offset", "gap"))
-        left, level = packed.where("free").select("uid", "length"), level + 1
-        rows_left = 0 if last else left.count()
-        if not rows_left:
+        left, level = packed.where("free").select("uid", "length", "kind"), level + 1
+        counts = {} if last else _counts(left)
+        if not counts:
             return reduce(DataFrame.unionByName, done)
 
 
+def _counts(rows: DataFrame) -> dict[int, int]:
+    return dict(sorted((r["kind"], r["count"]) for r in rows.groupBy("kind").count().collect()))
+
+
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text", by: str | None = None
 ) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and gap (see pack). Cases as in token_pieces; an empty table gives none."""
-    cut = token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and gap (see pack). Cases as in token_pieces; an empty table gives none.
+    `by` names a column of few values, a language say; a sequence holds documents of one of them."""
+    cut = token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, by).withColumn("uid", F.monotonically_increasing_id())
     cut = materialize(cut, "pieces")
-    return cut.join(pack(cut.select("uid", "length"), capacity, group_rows), "uid").drop("uid")
+    return cut.drop("by").join(pack(cut.drop("doc_id", "piece", "start", "ids_crc32"), capacity, group_rows, by and "by"), "uid").drop("uid")
