@@ -195,7 +195,10 @@ def record_feedback(receipts: DataFrame, known: DataFrame, batch: DataFrame, doc
     broken = refs.where(~F.col("holds")).select("pos").distinct().withColumn("broken", F.lit(True))
     newest = top_rows(receipts.select("task_id", F.col("receipt_id").alias("newest"), "created_at"), ["task_id"], [F.desc("created_at"), F.desc("newest")], 1).drop("created_at")
     named = top_rows(receipts.select("task_id", F.col("receipt_id").alias("_rid"), "retrieved_ids", "revisions", "created_at"), ["task_id", "_rid"], [F.desc("created_at")], 1).drop("created_at")
-    j = b.join(newest, "task_id", "left").withColumn("_rid", F.coalesce("receipt_id", "newest")).join(named, ["task_id", "_rid"], "left").join(broken, "pos", "left")
+    # Only rows without a receipt are moved by their task, as one task may have most of the rows.
+    bare = b.where("receipt_id IS NULL").join(newest, "task_id", "left").withColumnRenamed("newest", "_rid")
+    sure = b.where("receipt_id IS NOT NULL").withColumn("_rid", F.col("receipt_id"))
+    j = sure.unionByName(bare).join(named, ["task_id", "_rid"], "left").join(broken, "pos", "left")
     quoted = F.forall("user_corrections", lambda t: F.exists("evidence_refs", lambda r: F.contains(r["quote"], t)))
     needs = (F.col("outcome_status") != "unknown") | (F.size("user_corrections") > 0)
     reason = (
