@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tracemill import vocab as V
 from tracemill.operators import recall as C
+from tracemill.operators import retrieval as R
+from tracemill.session import held, materialize
 
 FIELDS = [n for n, _ in V.RECALL_WEIGHTS]
 SCHEMA = "tenant_id long, session_id string, date date, updated timestamp, status string, project string, title string, " + ", ".join(f"{n} array<string>" for n in FIELDS[2:])
@@ -59,3 +61,40 @@ def test_stored_postings_serve_many_questions(spark, tmp_path):
     got = C.recall(summaries, queries, as_of=F.lit(AS_OF), postings=stored)
     assert {(r.tenant_id, r.query_id, r.session_id, r.score, r.position) for r in got.collect()} == plain(rows, asked, 5)
     assert C.recall(summaries.limit(0), queries).isEmpty() and C.recall(summaries, queries.limit(0)).isEmpty()
+
+
+def plan(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_postings_and_texts_are_not_moved(spark, capsys):
+    """What a question asks for goes to the postings and texts, also where it is over Spark's own limit for that."""
+    rows, asked = world(5, 60, 12)
+    summaries, queries = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(asked, "tenant_id long, query_id long, query string")
+    postings = materialize(C.build_postings(summaries))
+    tokens = spark.createDataFrame([(0, 1, 0, "word7")], "tenant_id long, query_id long, pos int, word string")
+    hits = spark.createDataFrame([("word7", "word7")], "needle string, word string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = C._found(tokens, hits, postings, 1)
+        assert "BroadcastHashJoin" in (p := plan(found, capsys)) and "SortMergeJoin" not in p
+        assert {r.session_id for r in found.collect()} == {r.session_id for r in postings.where("tenant_id = 0 AND word = 'word7'").collect()}
+        best = C.recall(summaries, queries, as_of=F.lit(AS_OF), k=3)
+        assert "LeftSemi" in plan(best, capsys)
+        assert "LeftSemi" in plan(R.recall_blocks(best, summaries), capsys)
+        assert {(r.tenant_id, r.query_id, r.session_id, r.score, r.position) for r in best.collect()} == plain(rows, asked, 3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_few_rows_are_held(spark, capsys):
+    many, few = spark.range(100), materialize(spark.range(3).withColumn("n", F.lit(1)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, kind in ((3, "BroadcastHashJoin"), (2, "SortMergeJoin")):
+            joined = many.join(held(few, most), "id")
+            assert kind in plan(joined, capsys) and joined.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

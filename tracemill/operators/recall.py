@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracemill import vocab as V
 from tracemill.functions import text as T
 from tracemill.operators.grouping import top_rows
-from tracemill.session import materialize
+from tracemill.session import held, materialize
 
 MAX_HITS = 10
 #: Entries that the first words of a question may read.
@@ -71,12 +71,12 @@ def matches(words: DataFrame, needles: DataFrame, sizes: tuple[int, ...]) -> Dat
 
 def _found(tokens: DataFrame, hits: DataFrame, postings: DataFrame, parts: int) -> DataFrame:
     """tenant_id, query_id, session_id and a bit (in m0, m1, ...) for each token of the question that the session holds."""
-    held = tokens.withColumnRenamed("word", "needle").join(hits, "needle")
+    met = tokens.withColumnRenamed("word", "needle").join(hits, "needle")
     masks = [f"m{p}" for p in range(parts)]
     bit = F.lit(1).cast("long")
     of_part = [F.when(F.floor(F.col("pos") / BITS) == p, F.call_function("shiftleft", bit, (F.col("pos") % BITS).cast("int"))).otherwise(0).cast("long").alias(m) for p, m in enumerate(masks)]
-    of_word = held.select(*_QUERY, "word", *of_part).groupBy(*_QUERY, "word").agg(*[F.bit_or(m).alias(m) for m in masks])
-    of_word = materialize(of_word, "asked-words")  # so that Spark knows its size, and moves the postings only where it has to
+    of_word = met.select(*_QUERY, "word", *of_part).groupBy(*_QUERY, "word").agg(*[F.bit_or(m).alias(m) for m in masks])
+    of_word = held(materialize(of_word, "asked-words"))  # the postings stay where they are
     return of_word.join(postings, ["tenant_id", "word"]).groupBy(*_QUERY, "session_id").agg(*[F.bit_or(m).alias(m) for m in masks])
 
 
@@ -130,7 +130,9 @@ def recall(summaries: DataFrame, queries: DataFrame, *, as_of: Column | None = N
     def looked_up(pairs: DataFrame) -> DataFrame:
         """`score` with what the words of `unread` add that the texts hold, and the fields that hold the whole query if those are all and `complete`."""
         names = [n for n, _ in V.RECALL_WEIGHTS]
-        look = pairs.join(asked, _QUERY).join(texts, ["tenant_id", "session_id"])
+        pairs = materialize(pairs, "looked-up")
+        wanted = held(materialize(pairs.select("tenant_id", "session_id").distinct(), "looked-up-sessions"))
+        look = pairs.join(asked, _QUERY).join(texts.join(wanted, ["tenant_id", "session_id"], "left_semi"), ["tenant_id", "session_id"])
         look = look.withColumn("added", T.let(F.concat_ws(" ", *names), lambda t: F.filter("unread", lambda u: F.contains(t, u))))
         weighed = reduce(lambda a, b: a + b, [F.when(F.contains(n, F.col("query")), w).otherwise(0) for n, w in V.RECALL_WEIGHTS])
         every = F.col("complete") & (F.size("added") == F.size("unread"))

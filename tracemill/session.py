@@ -8,8 +8,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Rows of a small table that every task may hold; a larger one is moved to its rows by key.
+HELD_ROWS = 300_000
 
 
 def build_session(app: str = "tracemill", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -57,6 +60,11 @@ def materialize(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, most: int = HELD_ROWS) -> DataFrame:
+    """A stored table of few and short rows, for a join that leaves the other side where it is; with more than `most` rows, as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that `materialize` wrote, when no later step reads it."""
     spark = df.sparkSession
