@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one vectorised step handles, and rows; a longer single text makes a step of its own.
-STEP_BYTES, STEP_ROWS = 1 << 20, 1000
+#: Bytes of text that one vectorised step handles, and rows; a longer single text makes a step of its own. A worker takes some 100 bytes for each of them.
+STEP_BYTES, STEP_ROWS = 1 << 18, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

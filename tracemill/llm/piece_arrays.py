@@ -18,8 +18,9 @@ import pyarrow as pa
 
 from tracemill.llm.columns import ASCII_LOWER, flat, table_of
 
-#: Bytes of text that one step handles; a longer text makes a step of its own.
-STEP_BYTES = 8 << 20
+#: Bytes of text that one step handles; a longer text makes a step of its own. Pieces meet again in the worker's table, so longer steps take
+#: more memory and no less time.
+STEP_BYTES = 1 << 20
 #: Pieces a worker keeps at most, and the longest piece it keeps, in bytes.
 KEPT_PIECES, LONG_PIECE = 1_200_000, 64
 
@@ -194,9 +195,9 @@ def library_table(path: str, special_as_text: bool = False) -> PieceTable:
     return worker_table(("ids", path, special_as_text), lambda: library_pieces(path, special_as_text))
 
 
-def encoded_rows(column: pa.Array, table: PieceTable, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], words_only: bool = False) -> Iterator[memoryview]:
-    """The ids of each text of a column, by pieces."""
-    for _, some in text_steps(column):
+def encoded_rows(column: pa.Array, table: PieceTable, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], words_only: bool = False, limit: int = STEP_BYTES) -> Iterator[memoryview]:
+    """The ids of each text of a column, by pieces, in steps of about `limit` bytes."""
+    for _, some in text_steps(column, limit):
         numbers, pieces, before = numbered_pieces(some, cuts, words_only)
         ids, places = gathered(table.values(pieces), numbers)
         at = places[before].tolist()
